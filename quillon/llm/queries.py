@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.common import table
 from quillon.llm.quality_classifier import quality_scores
 from quillon.llm.quality_rules import quality_rules
+from quillon.llm.toxicity import toxicity_scores
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +19,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op8_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
