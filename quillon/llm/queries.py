@@ -9,6 +9,7 @@ from quillon.llm.jaccard_join import ngram_jaccard_join
 from quillon.llm.quality_classifier import quality_scores
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.suffix_dedup import suffix_array_dedup
+from quillon.llm.token_parquet import encode_to_parquet, new_path, read_tokens, token_digests
 from quillon.llm.toxicity import toxicity_scores
 
 
@@ -21,6 +22,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = encode_to_parquet(table(spark, sf_dir, "documents"), new_path(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_digests(read_tokens(spark, path))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents"), min_bytes=200, keep="none")
 
@@ -33,5 +41,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op6_suffix_array_dedup, op8_toxicity, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_token_parquet, op6_suffix_array_dedup, op8_toxicity, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
