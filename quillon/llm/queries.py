@@ -11,6 +11,7 @@ from quillon.llm.quality_rules import quality_rules
 from quillon.llm.suffix_dedup import suffix_array_dedup
 from quillon.llm.token_parquet import encode_to_parquet, new_path, read_tokens, token_digests
 from quillon.llm.toxicity import toxicity_scores
+from quillon.llm.url_filter import RULES, url_filter
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +38,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_token_parquet, op6_suffix_array_dedup, op8_toxicity, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_token_parquet, op6_suffix_array_dedup, op8_toxicity, op9_url_filter, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
