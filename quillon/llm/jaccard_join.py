@@ -278,7 +278,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(parts))).alias("cell"),
         F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
     )
-    texts = docs.select("doc_id", "text").join(cells, "doc_id")
+    texts = docs.select("doc_id", "text").join(cells.hint("merge"), "doc_id")  # the same plan at every size
     forest = materialize(texts.groupBy("big", "cell", "bi", "bj").applyInArrow(_product(k, num, den), "node long, root long, links long, big boolean"))
     degrees = forest.groupBy("node").agg(F.sum("links").alias("n_links"))
     large = forest.where("big and node <> root")
