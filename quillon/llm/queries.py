@@ -10,6 +10,7 @@ from quillon.llm.jaccard_join import ngram_jaccard_join
 from quillon.llm.quality_classifier import quality_scores
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.sentencepiece_fst import sentencepiece_round_trip
+from quillon.llm.soft_mixing import soft_mixing_rates
 from quillon.llm.suffix_dedup import suffix_array_dedup
 from quillon.llm.token_parquet import encode_to_parquet, new_path, read_tokens, token_digests
 from quillon.llm.toxicity import toxicity_scores
@@ -31,6 +32,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mixing_rates(table(spark, sf_dir, "documents"), domain="lang")
+
+
 def op5_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op5_token_parquet, op6_suffix_array_dedup, op7_exact_top_k, op8_toxicity, op9_url_filter, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op4_soft_mixing, op5_token_parquet, op6_suffix_array_dedup, op7_exact_top_k, op8_toxicity, op9_url_filter, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (

@@ -327,8 +327,8 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], top[np.concatenate([first[1:], [True]])]
 
 
-def _remove(size: int, keep: str, with_text: bool):
-    """mapInArrow of (doc_id, text, spans, copies, first_doc): what is left of each text."""
+def _remove(size: int, keep: str, with_text: bool, passed: int):
+    """mapInArrow of (doc_id, text, spans, copies, first_doc, passed columns): what is left of each text."""
 
     def run(batches):
         for b in batches:
@@ -348,15 +348,21 @@ def _remove(size: int, keep: str, with_text: bool):
                 left = text[np.cumsum(gone[:-1]) == 0].tobytes()
                 out.append((n, n - len(left), len(lo), hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if with_text else [])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[j] for r in out], kinds[j]) for j in range(5 if with_text else 4))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 6 if with_text else 5])
+            results = [pa.array([r[j] for r in out], kinds[j]) for j in range(5 if with_text else 4)]
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(results)]
+            if passed:
+                yield pa.RecordBatch.from_arrays([*b.columns[5:], *results], [*b.schema.names[5:], *names])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *results], ["doc_id", *names])
 
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first", with_text: bool = False, hot_runs: int = 4096) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first", with_text: bool = False, pass_columns: bool = False, hot_runs: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for each row of docs (doc_id, text).
 
     n_spans counts maximal removed runs.  kept_text drops bytes of a character that was cut.
+    pass_columns: all columns of docs come first instead of doc_id.
     """
     if min_bytes < GRAM:
         raise ValueError(f"min_bytes must be {GRAM} at least")
@@ -366,7 +372,7 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     found = materialize(blobs.groupBy("bucket").applyInArrow(_group_runs(min_bytes, keep, hot_runs), FOUND))
     wanted = found.where("fetch").groupBy("text_hash", "doc").agg(F.collect_list(F.struct("text_hash", "doc", "lo", "hi", "least", "hot")).alias("runs"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
-    texts = rows.select("text", "text_hash", order.alias("doc")).join(wanted, ["text_hash", "doc"]).select("text", "runs")
+    texts = rows.select("text", "text_hash", order.alias("doc")).join(wanted.hint("merge"), ["text_hash", "doc"]).select("text", "runs")
     pieces = texts.mapInArrow(_fetch(min_bytes, parts, keep), PIECE)
     spread = F.when(F.col("done"), F.pmod(F.xxhash64("text_hash", "lo"), F.lit(parts)).cast("int")).otherwise(F.col("cell"))
     ends = pieces.withColumn("cell", spread).groupBy("cell").applyInArrow(_settle(min_bytes, keep), "text_hash long, lo long, hi long")
@@ -375,5 +381,11 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     copies = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("first_doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).where("n > 1")
     copies = copies.select("text_hash", F.lit(True).alias("copies"), F.when(F.col("nulls") == 0, F.col("first_doc")).alias("first_doc"))
     known = materialize(spans.join(copies, "text_hash", "full"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return rows.join(known, "text_hash", "left").select("doc_id", "text", "spans", "copies", "first_doc").mapInArrow(_remove(min_bytes, keep, with_text), schema)
+    columns = [f"`{c}`" for c in docs.columns] if pass_columns else []
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if pass_columns else "doc_id long"
+    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    row = F.struct(*columns).alias("row") if pass_columns else F.lit(0).alias("row")  # no clash with the names below
+    all_rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), row)
+    joined = all_rows.join(known.hint("merge"), "text_hash", "left")  # the same plan at every size
+    final = joined.select("id", "body", "spans", "copies", "first_doc", *(["row.*"] if pass_columns else []))
+    return final.mapInArrow(_remove(min_bytes, keep, with_text, len(columns)), schema)
