@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -198,11 +199,17 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def transducer(path: str) -> Transducer:
+    """One transducer a worker process, so its paths last over tasks."""
+    return Transducer(path)
+
+
 def sentencepiece_ids(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens and ids for each row of docs (doc_id, text)."""
 
     def run(batches):
-        fst = Transducer(model)
+        fst = transducer(model)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -221,7 +228,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches):
-        fst = Transducer(model)
+        fst = transducer(model)
         byte = np.zeros(len(fst.text), bool)
         byte[list(fst.byte_of)] = True
         for b in batches:

@@ -17,8 +17,9 @@ gives an empty file set; other columns are not written.
 
 from __future__ import annotations
 
-import re
 import zlib
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,74 +29,97 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import shared_dir, shuffle_partitions
 
-BLANK = re.compile("[ \t\n\r]+")
 SCHEMA = "part int, doc_id long, n_tokens long, part_start long, ids array<int>"
 
 
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others, in order, for 256 and on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+
+
 class WordEncoder:
-    """Ids of whole texts by a cache of words; equals encode() of the text as one string."""
+    """Ids of whole texts by a cache of words; equals encode() of the text as one string.
+
+    A word of letters that lower-casing and composition leave letters is one word to the
+    tokenizer too, so the library's model encodes it directly; any other goes through the
+    whole tokenizer.  Ids are kept and joined as little-endian 32-bit bytes.  The cache has
+    two generations of most words at the most; words in use move to the young one.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words: dict[str, list[int]] = {}
-        self.cores: dict[str, list[int]] = {}
-
-    def _library(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _new(self, word: str) -> bytes:
+        if word.isalpha() and word.lower() == word and is_normalized("NFC", word):
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, "<i4").tobytes()
+
+    def _get(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = self.old.get(word) or self._new(word)
+        return ids
 
     def learn(self, words: set[str]) -> None:
         """Cache words.  A word of letters and a tail of ASCII marks is encoded as its two parts."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.cores) > self.most:
-            self.cores.clear()
-        split = {}
         for w in words:
-            core = w.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-            split[w] = (core.lower() if core.isascii() else core, w[len(core) :]) if core.isalpha() else (w, "")
-        new = list({x for pair in split.values() for x in pair if x and x not in self.cores})
-        self.cores.update(zip(new, self._library(new), strict=True))
-        for w, (core, tail) in split.items():
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+            ids = self.old.get(w)
+            if ids is None:
+                core = w.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+                low = core.lower()
+                if core.isalpha() and low.isalpha() and "\u03a3" not in core:  # capital sigma lower-cases by its place
+                    ids = self._get(low) + self._get(w[len(core) :])
+                else:
+                    ids = self._new(w)
+            self.words[w] = ids
 
     def encode(self, texts: list[str], slice_chars: int = 1 << 20):
-        """The ids of each text, some texts at a time."""
+        """The ids of each text as bytes, some texts at a time."""
         at = 0
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size < slice_chars):
                 size += len(texts[to])
                 to += 1
-            split = [BLANK.split(t) for t in texts[at:to]]
-            self.learn({w for s in split for w in s if w and w not in self.words})
-            self.words[""] = []
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:to]]
+            if len(self.words) > self.most:
+                self.words, self.old = {"": b""}, self.words
+            self.learn(set().union(*split).difference(self.words))
             for s in split:
-                out: list[int] = []
-                for ids in map(self.words.__getitem__, s):
-                    out += ids
-                yield out
+                yield b"".join(map(self.words.__getitem__, s))
             at = to
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, so its words last over tasks."""
+    return WordEncoder(path)
+
+
 def encode_to_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, page_rows: int = 2000) -> str:
     """Write the token ids of docs (doc_id, text) under path, in ascending doc_id order over the files."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, start = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            arrays = [np.array(ids if end_id is None else [*ids, end_id], np.int32) for ids in encoder.encode(texts)]
-            n = np.array([len(a) for a in arrays], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+            parts = [ids + end for ids in words.encode(texts)]
+            n = np.array([len(x) // 4 for x in parts], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0).cast(pa.int64()), pa.array(n), pa.array(start + np.cumsum(n) - n), ids], ["part", "doc_id", "n_tokens", "part_start", "ids"])
             start += int(n.sum())
 
-    parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     writer = rows.mapInArrow(run, SCHEMA).write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
     for column in ("doc_id", "n_tokens", "part_start"):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
