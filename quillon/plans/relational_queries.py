@@ -59,7 +59,7 @@ def project_set_rows_from(t):
 sql_query("generate_series", "SELECT r_regionkey, explode(sequence(1, 5, 2)) AS i FROM region", "SELECT r_regionkey, unnest(generate_series(1, 5, 2)) AS i FROM region")
 
 # ------------------------------------------------------------------ joins
-sql_query("join_agg_having_sort", "SELECT n_name, count(*) AS n_orders, round(avg(o_totalprice), 2) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY n_name HAVING count(*) > 3 ORDER BY n_orders DESC, n_name")
+sql_query("join_agg_having_sort", "SELECT n_name, count(*) AS n_orders, round(avg(o_totalprice), 8) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY n_name HAVING count(*) > 3 ORDER BY n_orders DESC, n_name")
 sql_query("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 sql_query("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000")
 sql_query("join_right", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
@@ -81,18 +81,18 @@ sql_query("fk_existence_check", "SELECT o_orderkey FROM orders LEFT ANTI JOIN cu
 sql_query("update_from", "SELECT c_custkey, c_name, coalesce(t.total, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) t ON c_custkey = o_custkey")
 
 
-@query("SELECT c_nationkey, CAST(count(o_totalprice) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS lowest, max(o_totalprice) AS highest, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey")
+@query("SELECT c_nationkey, CAST(count(o_totalprice) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS lowest, max(o_totalprice) AS highest, round(avg(o_totalprice), 8) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey")
 def eager_aggregation_below_join(t):
     dim = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     out = R.eager_aggregate_join(t.orders.select("o_custkey", "o_totalprice"), dim, ["o_custkey"], ["c_nationkey"], "o_totalprice")
-    return out.withColumn("total", F.round("total", 2)).withColumn("mean", F.round("mean", 4))
+    return out.withColumn("total", F.round("total", 2)).withColumn("mean", F.round("mean", 8))
 
 
 # ------------------------------------------------------------------ aggregation
-sql_query("pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY l_returnflag, l_linestatus")
-sql_query("scalar_aggregate", "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS mean FROM orders")
+sql_query("pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc, round(avg(l_quantity), 8) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY l_returnflag, l_linestatus")
+sql_query("scalar_aggregate", "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 8) AS mean FROM orders")
 sql_query("distinct_aggregates", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS key_sum FROM orders GROUP BY o_orderstatus")
-sql_query("aggregate_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 250000) AS n_big, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 4) AS urgent FROM orders GROUP BY o_orderstatus")
+sql_query("aggregate_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 250000) AS n_big, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 8) AS urgent FROM orders GROUP BY o_orderstatus")
 sql_query("group_by_alias_ordinal", "SELECT year(o_orderdate) AS y, o_orderstatus, count(*) AS n FROM orders GROUP BY y, 2")
 sql_query("having", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 550")
 sql_query("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
@@ -194,6 +194,6 @@ sql_query("subqueries", "SELECT o_orderkey, o_totalprice > (SELECT avg(o_totalpr
 sql_query("row_comparison", "SELECT n_nationkey FROM nation WHERE n_regionkey > 2 OR (n_regionkey = 2 AND n_nationkey > 10)", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) > (2, 10)")
 sql_query("view_query", "SELECT k, n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) WHERE n > 50")
 sql_query("prepared_statement_shape", "SELECT o_orderkey FROM orders WHERE o_custkey = 10 AND o_totalprice > 1000.0")
-sql_query("shipping_volume", "SELECT n_name, year(l_shipdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' GROUP BY n_name, year(l_shipdate)")
+sql_query("shipping_volume", "SELECT n_name, year(l_shipdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' GROUP BY n_name, year(l_shipdate)")
 sql_query("promotion_effect", "SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'ECON%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo FROM lineitem JOIN part ON l_partkey = p_partkey")
 sql_query("large_volume_customers", "SELECT c_custkey, o_orderkey, sum(l_quantity) AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) GROUP BY c_custkey, o_orderkey")
