@@ -38,9 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 200 bytes or more are cut out; documents left without a word go."""
     kept = suffix_array_dedup(docs, min_bytes=200, keep="first", with_text=True, pass_columns=True)
-    return kept.where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0)).select(
-        *[F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+    cut = F.col("n_removed") > 0
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    columns = [F.when(cut, new[c]).otherwise(F.col(f"document.`{c}`")).alias(c) if c in new else F.col(f"document.`{c}`").alias(c) for c in docs.columns]
+    return kept.where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]") | ~cut).select(columns)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -327,8 +327,8 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], top[np.concatenate([first[1:], [True]])]
 
 
-def _remove(size: int, keep: str, with_text: bool, passed: int):
-    """mapInArrow of (doc_id, text, spans, copies, first_doc, passed columns): what is left of each text."""
+def _remove(size: int, keep: str, with_text: bool, pass_row: bool):
+    """mapInArrow of (doc_id, text, spans, copies, first_doc, row): what is left of each text."""
 
     def run(batches):
         for b in batches:
@@ -350,10 +350,8 @@ def _remove(size: int, keep: str, with_text: bool, passed: int):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             results = [pa.array([r[j] for r in out], kinds[j]) for j in range(5 if with_text else 4)]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(results)]
-            if passed:
-                yield pa.RecordBatch.from_arrays([*b.columns[5:], *results], [*b.schema.names[5:], *names])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *results], ["doc_id", *names])
+            head = [("document", b.column(5))] if pass_row else [("doc_id", b.column(0).cast(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([head[0][1], *results], [head[0][0], *names])
 
     return run
 
@@ -362,7 +360,7 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for each row of docs (doc_id, text).
 
     n_spans counts maximal removed runs.  kept_text drops bytes of a character that was cut.
-    pass_columns: all columns of docs come first instead of doc_id.
+    pass_columns: a struct document with all columns of docs comes first instead of doc_id.
     """
     if min_bytes < GRAM:
         raise ValueError(f"min_bytes must be {GRAM} at least")
@@ -381,11 +379,11 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     copies = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("first_doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).where("n > 1")
     copies = copies.select("text_hash", F.lit(True).alias("copies"), F.when(F.col("nulls") == 0, F.col("first_doc")).alias("first_doc"))
     known = materialize(spans.join(copies, "text_hash", "full"))
-    columns = [f"`{c}`" for c in docs.columns] if pass_columns else []
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if pass_columns else "doc_id long"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if pass_columns else F.lit(0)
+    schema = docs.select(row.alias("r")).schema["r"].dataType.simpleString() if pass_columns else ""
+    schema = f"document {schema}" if pass_columns else "doc_id long"
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    row = F.struct(*columns).alias("row") if pass_columns else F.lit(0).alias("row")  # no clash with the names below
-    all_rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), row)
+    all_rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), row.alias("row"))
     joined = all_rows.join(known.hint("merge"), "text_hash", "left")  # the same plan at every size
-    final = joined.select("id", "body", "spans", "copies", "first_doc", *(["row.*"] if pass_columns else []))
-    return final.mapInArrow(_remove(min_bytes, keep, with_text, len(columns)), schema)
+    final = joined.select("id", "body", "spans", "copies", "first_doc", "row")
+    return final.mapInArrow(_remove(min_bytes, keep, with_text, pass_columns), schema)

@@ -17,7 +17,7 @@ sample with a Gaussian prior on its weights, so kinds absent from the sample kee
 sensible weights.
 
 Edge cases: null and empty texts have no hits and get the score of such documents; with
-no toxic training rows the lexicon is empty and every score is the smoothed base rate;
+no toxic training rows the lexicon is empty and every score is a smoothed base rate below 0.1;
 null labels and doc_ids train nothing; repeated rows are each scored; other columns pass
 unread.
 """
@@ -296,7 +296,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remain
         weights = fit_logistic(np.repeat(rows[:, :N_KINDS], rows[:, -1].astype(int), 0), np.repeat(rows[:, N_KINDS], rows[:, -1].astype(int)))
     else:
         weights = np.zeros(N_KINDS + 1)
-        weights[0] = np.log(0.5 / (good + 0.5))
+        weights[0] = np.log(0.5 / (good + 5))
 
     def score(batches):
         for b in batches:
