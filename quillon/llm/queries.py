@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.common import table
 from quillon.llm.cover_tree import exact_top_k
 from quillon.llm.jaccard_join import ngram_jaccard_join
+from quillon.llm.oracles import ORACLE_SQL  # noqa: F401
 from quillon.llm.quality_classifier import quality_scores
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.sentencepiece_fst import sentencepiece_round_trip
@@ -64,18 +65,3 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op4_soft_mixing, op5_token_parquet, op6_suffix_array_dedup, op7_exact_top_k, op8_toxicity, op9_url_filter, op10_ngram_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {
-    "op7_exact_top_k": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e
-            FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
-        ), r AS (
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-        )
-        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-    """,
-}
