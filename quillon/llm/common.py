@@ -8,6 +8,7 @@ Nothing is cut: a document longer than the chunk size makes a chunk of its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -34,10 +35,20 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    release(spark)
     df.write.options(**options).parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished plans now: it does once the driver has collected them as garbage."""
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
