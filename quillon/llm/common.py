@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -35,18 +36,17 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
-    release(spark)
     df.write.options(**options).parquet(path)
-    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished plans now: it does once the driver has collected them as garbage."""
-    gc.collect()
     jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
+    for _ in range(3 if jvm is not None else 0):  # what one collection frees holds on to what the next one can
+        gc.collect()
         jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Chunk, chunks, combine, materialize, mix, shuffle_partitions
+from quillon.llm.common import LOWER, Chunk, chunks, combine, materialize, mix, release, shuffle_partitions
 from quillon.llm.components import connected_components
 
 SEEDS = 8
@@ -265,6 +265,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     parts = 4 * shuffle_partitions(docs.sparkSession)
     blobs = docs.select("doc_id", "text").mapInArrow(_key_blobs(k, num, den, parts), "bucket int, blob binary")
     met = materialize(blobs.groupBy("bucket").applyInArrow(_meet, "doc_id long, n long, u long, v long"))
+    release(docs.sparkSession)
     rows = met.where("v is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
     clusters = connected_components(met.where("v is not null"), "u", "v").withColumnRenamed("component", "label")
     first = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -280,6 +281,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     )
     texts = docs.select("doc_id", "text").join(cells.hint("merge"), "doc_id")  # the same plan at every size
     forest = materialize(texts.groupBy("big", "cell", "bi", "bj").applyInArrow(_product(k, num, den), "node long, root long, links long, big boolean"))
+    release(docs.sparkSession)
     degrees = forest.groupBy("node").agg(F.sum("links").alias("n_links"))
     large = forest.where("big and node <> root")
     comp = forest.where("not big").select("node", F.col("root").alias("comp"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Chunk, batch_bytes, chunks, materialize, mix, shuffle_partitions
+from quillon.llm.common import Chunk, batch_bytes, chunks, materialize, mix, release, shuffle_partitions
 
 GRAM = 64
 RUN = np.dtype([("least", "<u8"), ("content", "<u8"), ("text", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("inner", "<u4")])
@@ -368,6 +368,7 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     blobs = rows.mapInArrow(_run_blobs(min_bytes, parts), "bucket int, blob binary")
     found = materialize(blobs.groupBy("bucket").applyInArrow(_group_runs(min_bytes, keep, hot_runs), FOUND))
+    release(docs.sparkSession)
     wanted = found.where("fetch").groupBy("text_hash", "doc").agg(F.collect_list(F.struct("text_hash", "doc", "lo", "hi", "least", "hot")).alias("runs"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
     texts = rows.select("text", "text_hash", order.alias("doc")).join(wanted.hint("merge"), ["text_hash", "doc"]).select("text", "runs")
@@ -379,6 +380,7 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     copies = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("first_doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).where("n > 1")
     copies = copies.select("text_hash", F.lit(True).alias("copies"), F.when(F.col("nulls") == 0, F.col("first_doc")).alias("first_doc"))
     known = materialize(spans.join(copies, "text_hash", "full"))
+    release(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if pass_columns else F.lit(0)
     schema = docs.select(row.alias("r")).schema["r"].dataType.simpleString() if pass_columns else ""
     schema = f"document {schema}" if pass_columns else "doc_id long"
