@@ -12,10 +12,15 @@ document has more empty parts than spares, it also emits keys under the next has
 A frequent passage does not make keys collide, for a key holds several random items at
 once.  Nodes that share keys form clusters, and a cluster is a block of the product.
 
+A chance meeting in a key can chain large clusters of unlike texts.  Clusters above
+block_rows nodes are therefore clustered anew by their rarest items: exact counts of all
+their items order them, and only texts that share an item of their rare prefix stay
+together.
+
 Product.  Each block builds its incidence rows from the whole texts and multiplies them
 by their transpose, columns in slices, which accumulates the exact overlap of every pair;
-pairs under the overlap their sizes demand are discarded.  Clusters above block_rows
-nodes are cut into a grid of blocks, one task a pair of blocks.  A task returns a spanning
+pairs under the overlap their sizes demand are discarded.  Clusters that are still above
+block_rows nodes, groups of many different near copies, are cut into a grid of blocks, one task a pair of blocks.  A task returns a spanning
 forest of its links and each node's number of links, never the pairs.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; a text of
@@ -31,6 +36,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.common import LOWER, Chunk, chunks, combine, materialize, mix, release, shuffle_partitions
@@ -256,6 +262,39 @@ def _product(k: int, num: int, den: int):
     return run
 
 
+def _items(k: int):
+    """mapInArrow of (text, node): rows (node, n, item) of the node's set."""
+
+    def run(batches):
+        for b in batches:
+            nodes = b.column(1).to_numpy()
+            for lo, _, c in chunks(b.column(0)):
+                sets = [(n, s) for n, s in zip(nodes[lo:].tolist(), item_sets(c, k), strict=False) if node_of(s) == n]
+                sizes = np.array([len(s) for _, s in sets], np.int64)
+                node = np.repeat(np.array([n for n, _ in sets], np.int64), sizes)
+                item = np.concatenate([s for _, s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(sizes, sizes)), pa.array(item)], ["node", "n", "item"])
+
+    return run
+
+
+def _refine(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """node, label: clusters among the nodes of texts by shared rare items; nodes without a partner are left out.
+
+    All items are counted and ordered by rarity.  Two linked sets overlap in num / den of
+    either, so they share one of the first n - ceil(n * num / den) + 1 items of each; texts
+    that only share a frequent passage have rarer items in front and share none.
+    """
+    items = texts.select("text", "node").distinct().mapInArrow(_items(k), "node long, n long, item long")
+    counts = items.groupBy("item").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("df", "item"))
+    front = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    first = items.join(counts, "item").withColumn("rank", rank).where((F.col("rank") <= front) & (F.col("df") > 1)).select("node", "item")
+    first = materialize(first)
+    least = first.groupBy("item").agg(F.min("node").alias("least"))
+    return connected_components(first.join(least, "item").select("node", "least").distinct(), "node", "least").withColumnRenamed("component", "label")
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_rows: int = 1024) -> DataFrame:
     """doc_id, n_shingles, class_id, n_links and component_id for each row of docs (doc_id, text).
 
@@ -270,17 +309,25 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     clusters = connected_components(met.where("v is not null"), "u", "v").withColumnRenamed("component", "label")
     first = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
+    cand = clusters.join(sizes, "label").join(first, "node").select("doc_id", "node", "label", "size")
+    # the same plan at every size
+    texts = materialize(docs.select("doc_id", "text").join(materialize(cand).hint("merge"), "doc_id"))
+    release(docs.sparkSession)
+    large = texts.where(F.col("size") > block_rows)
+    if not large.isEmpty():
+        finer = materialize(_refine(large, k, num, den))
+        sizes = finer.groupBy("label").agg(F.count("*").alias("size"))
+        again = large.drop("label", "size").join(finer.join(sizes, "label"), "node").select(texts.columns)
+        texts = texts.where(F.col("size") <= block_rows).unionByName(again)
+        release(docs.sparkSession)
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    cand = materialize(clusters.join(sizes, "label").join(first, "node").select("doc_id", "node", "label", blocks.alias("blocks")).withColumn("own", own))
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    cells = cand.select("*", other.alias("other")).select(
-        "doc_id", "node", "label", F.col("own").alias("side"), (F.col("blocks") > 1).cast("int").alias("big"),
+    cells = texts.withColumn("blocks", blocks).withColumn("side", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "text", "node", "label", "side", (F.col("blocks") > 1).cast("int").alias("big"),
         F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(parts))).alias("cell"),
-        F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+        F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"),
     )
-    texts = docs.select("doc_id", "text").join(cells.hint("merge"), "doc_id")  # the same plan at every size
-    forest = materialize(texts.groupBy("big", "cell", "bi", "bj").applyInArrow(_product(k, num, den), "node long, root long, links long, big boolean"))
+    forest = materialize(cells.groupBy("big", "cell", "bi", "bj").applyInArrow(_product(k, num, den), "node long, root long, links long, big boolean"))
     release(docs.sparkSession)
     degrees = forest.groupBy("node").agg(F.sum("links").alias("n_links"))
     large = forest.where("big and node <> root")
