@@ -67,7 +67,7 @@ def _fields(b: bytes):
 class Transducer:
     """The compiled model; encode() and decode() are its two directions."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         pieces: list[tuple[str, float, int]] = []
         self.prefix, trainer, charsmap = True, 1, b""
         with open(path, "rb") as f:
@@ -91,6 +91,7 @@ class Transducer:
         self.byte = {int(t[3:5], 16): i for i, (t, _, kind) in enumerate(pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.silent = {i for i, p in enumerate(pieces) if p[2] in (CONTROL, UNKNOWN)}
+        self.odd = self.silent | set(self.byte_of)
         self.unknown = next(i for i, p in enumerate(pieces) if p[2] == UNKNOWN)
         self.longest = max(map(len, self.arc), default=1)
         self.inside = {t[i : i + 2] for t in self.arc for i in range(len(t) - 1)}
@@ -99,6 +100,8 @@ class Transducer:
         self.part = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
         self.safe = not any("\n" in t for t in self.arc) and not any(SPACE in t.lstrip(SPACE) for t in self.arc)
         self.most, self.paths, self.junctions = most, {}, {}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _merge(self, chars: str) -> list[str]:
         """BPE of a short string: the best-scored neighbour pair first, the leftmost of equals."""
@@ -128,35 +131,41 @@ class Transducer:
         if part not in self.arc and len(part) == 1:
             return [self.byte[b] for b in part.encode()] if self.byte else [self.unknown]
         n = len(part)
-        reach: list[list[tuple[float, int, int, int]]] = [[] for _ in range(n + 1)]  # (weight, piece, start, place in reach[start])
-        reach[0] = [(0.0, -1, -1, -1)]
-        for end in range(1, n + 1):
-            found: dict[int, tuple[float, int, int, int]] = {}
-            for start in range(max(0, end - self.longest), end):
-                piece = self.arc.get(part[start:end])
-                if piece is None:
-                    continue
-                cost = 0.0 if self.bpe else -self.score[piece]
-                for place, (weight, before, _, _) in enumerate(reach[start]):
-                    w = weight + cost + self.junction(before, piece)
-                    if w < INF and (piece not in found or w < found[piece][0]):
-                        found[piece] = (w, piece, start, place)
-                if found and self.bpe:
-                    break  # a prefix has one finite path
-            states = list(found.values())
-            reach[end] = states if self.bpe or not states else [min(states)]
-        if not reach[n]:  # a character of no piece inside: bytes for it
+        if self.bpe:  # weights are 0 or infinity and each prefix has one finite path: its last piece is its state
+            state, back = [-1] + [None] * n, [0] * (n + 1)
+            arc, junctions = self.arc.get, self.junctions.get
+            for end in range(1, n + 1):
+                for start in range(end - 1, max(0, end - self.longest) - 1, -1):  # most last pieces are short
+                    piece = arc(part[start:end])
+                    if piece is None or (before := state[start]) is None:
+                        continue
+                    weight = junctions((before, piece))
+                    if (self.junction(before, piece) if weight is None else weight) == 0.0:
+                        state[end], back[end] = piece, start
+                        break
+            pieces = state
+        else:  # the least weight of each prefix
+            best: list[float] = [0.0] + [INF] * n
+            pieces, back = [-1] + [None] * n, [0] * (n + 1)
+            for end in range(1, n + 1):
+                for start in range(max(0, end - self.longest), end):
+                    piece = self.arc.get(part[start:end])
+                    if piece is not None and best[start] - self.score[piece] < best[end]:
+                        best[end], pieces[end], back[end] = best[start] - self.score[piece], piece, start
+        if pieces[n] is None:  # a character of no piece inside: bytes for it
             return [i for ch in part for i in self._shortest(ch)]
-        ids, at = [], min(reach[n])
-        while at[1] >= 0:
-            ids.append(at[1])
-            at = reach[at[2]][at[3]]
+        ids, at = [], n
+        while at:
+            ids.append(pieces[at])
+            at = back[at]
         return ids[::-1]
 
     def _path(self, part: str) -> list[int]:
         """Cut a part at its forced states and join the paths."""
         out: list[int] = []
         first = 0
+        if len(self.paths) > self.most:
+            self.paths.clear()
         for i in range(1, len(part) + 1):
             if i == len(part) or part[i - 1 : i + 1] not in self.inside:
                 piece = part[first:i]
@@ -169,29 +178,35 @@ class Transducer:
                 first = i
         return out
 
+    def _ids(self, word: str) -> bytes:
+        """Ids of a blank and a word, as little-endian 32-bit bytes."""
+        return np.array([i for part in self.part.findall(SPACE + word) for i in self._path(part)], "<i4").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes; words new to the worker are walked first."""
+        split: list[list[str] | None] = []
+        for t in texts:
+            words = t.split(" ") if t and self.safe and self.prefix and SPACE not in t else None
+            split.append(words if words is None or "" not in words else None)
+        if len(self.words) > self.most:  # two generations: words in use move to the young one
+            self.words, self.old = {}, self.words
+        for w in set().union(*(s for s in split if s)).difference(self.words):
+            ids = self.old.get(w)
+            self.words[w] = self._ids(w) if ids is None else ids
+        get = self.words.__getitem__
+        return [np.array(self.encode(t), "<i4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         text = text.replace(" ", SPACE)
         if self.prefix:
             text = SPACE + text
-        if not self.safe:
-            return self._path(text)
-        if len(self.paths) > self.most:
-            self.paths.clear()
-        out: list[int] = []
-        paths = self.paths
-        for part in self.part.findall(text):
-            ids = paths.get(part)
-            if ids is None:
-                ids = self._path(part)
-                if len(part) <= 40:
-                    paths[part] = ids
-            out += ids
-        return out
+        parts = self.part.findall(text) if self.safe else [text]
+        return [i for part in parts for i in self._path(part)]
 
     def decode(self, ids) -> str:
-        if not self.byte_of.keys() & set(ids) and not self.silent & set(ids):
+        if self.odd.isdisjoint(ids):
             text = "".join(map(self.plain.__getitem__, ids))
         else:
             raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else self.plain[i].encode() for i in ids)
@@ -213,9 +228,9 @@ def sentencepiece_ids(docs: DataFrame, model: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [np.array(fst.encode(t), np.int32) for t in part.column(1).to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                ids = fst.encode_all(part.column(1).to_pylist())
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -232,11 +247,11 @@ def sentencepiece_round_trip(docs: DataFrame, model: str) -> DataFrame:
         byte = np.zeros(len(fst.text), bool)
         byte[list(fst.byte_of)] = True
         for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                ids = fst.encode(text)
-                array = np.array(ids, "<u4")
-                rows.append((len(ids), int(byte[array].sum()), zlib.crc32(array.tobytes()), fst.decode(ids) == (text or "")))
+            texts, rows = b.column(1).to_pylist(), []
+            for at in range(0, len(texts), 256):
+                for text, data in zip(texts[at : at + 256], fst.encode_all(texts[at : at + 256]), strict=True):
+                    array = np.frombuffer(data, "<u4")
+                    rows.append((len(array), int(byte[array].sum()), zlib.crc32(data), fst.decode(array.tolist()) == (text or "")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
