@@ -286,6 +286,7 @@ def _refine(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     that only share a frequent passage have rarer items in front and share none.
     """
     items = texts.select("text", "node").distinct().mapInArrow(_items(k), "node long, n long, item long")
+    items = items.repartition(shuffle_partitions(texts.sparkSession), "item")  # one exchange for the counts and the join
     counts = items.groupBy("item").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("node").orderBy("df", "item"))
     front = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
