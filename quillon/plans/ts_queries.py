@@ -24,7 +24,7 @@ def ts_block_filter(t):
 
 @query("SELECT DISTINCT user_id, event_type FROM events WHERE user_id < 50")
 def tag_scan(t):
-    return t.series().tag_table().where("user_id < 50")
+    return t.series().tag_table()
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(avg(value), 8) AS mean FROM events JOIN customer ON user_id = c_custkey WHERE c_nationkey < 10 GROUP BY c_mktsegment")
@@ -111,7 +111,7 @@ _GAPS = f"WITH h AS ({_HOURS}), g AS (SELECT user_id, unnest(generate_series(min
 
 
 def _gaps(t):
-    h = t.events.where("user_id < 60").groupBy("user_id", B.time_bucket("ts", "1d").alias("bucket")).agg(F.round(F.avg("value"), 8).alias("mean"), F.count("*").alias("n"))
+    h = t.events.groupBy("user_id", B.time_bucket("ts", "1d").alias("bucket")).agg(F.round(F.avg("value"), 8).alias("mean"), F.count("*").alias("n"))
     return B.gap_fill(h, "bucket", "1d", ["user_id"])
 
 
@@ -157,10 +157,9 @@ _MODES = {
 for _mode, _sql in _MODES.items():
 
     def _filled(t, mode=_mode):
-        e = t.events.where("user_id < 60")
-        points = e.select("user_id", (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("interval 12 hours")).alias("ts")).distinct()
+        points = t.events.select("user_id", (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("interval 12 hours")).alias("ts")).distinct()
         six = 6 * 3600 * 1000
-        out = B.point_fill(points, e, ["user_id"], "ts", "value", mode, six, six, -1.0)
+        out = B.point_fill(points, t.events, ["user_id"], "ts", "value", mode, six, six, -1.0)
         return out.withColumn("value", F.round("value", 6)) if mode == "linear" else out
 
     _filled.__name__ = f"fill_{_mode}"
