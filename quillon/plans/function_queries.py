@@ -45,8 +45,7 @@ sql_query("scalar_sql_udf_shape", "SELECT n_nationkey, aggregate(sequence(1, n_r
 
 @query("SELECT l_orderkey, l_linenumber, CAST(round(l_orderkey / l_linenumber, 6) AS DOUBLE) AS d, CAST(trunc(-l_quantity / l_linenumber) AS BIGINT) AS t FROM lineitem WHERE l_orderkey < 2000")
 def dialect_division(t):
-    r = t.lineitem.where("l_orderkey < 2000")
-    return r.select("l_orderkey", "l_linenumber", F.round(S.true_div(F.col("l_orderkey"), F.col("l_linenumber")), 6).cast("double").alias("d"), S.trunc_div(-F.col("l_quantity"), F.col("l_linenumber")).alias("t"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(S.true_div(F.col("l_orderkey"), F.col("l_linenumber")), 6).cast("double").alias("d"), S.trunc_div(-F.col("l_quantity"), F.col("l_linenumber")).alias("t"))
 
 
 @query("SELECT event_id, round(log10(value + 1), 8) AS a, round(ln(value + 1) / ln(3), 8) AS b, trunc(50 - value) AS tr, round(cot(value), 6) AS c FROM events")
@@ -101,7 +100,7 @@ def non_cryptographic_hashes(t):
 def inet_contained(t):
     k = F.col("c_custkey")
     ip = F.concat(F.lit("10.0.0."), (k % 256).cast("string"))
-    return t.customer.where("c_custkey < 500").select("c_custkey", S.inet_contained(ip, F.lit("10.0.0.0/25")).alias("inside"))
+    return t.customer.select("c_custkey", S.inet_contained(ip, F.lit("10.0.0.0/25")).alias("inside"))
 
 
 @query("SELECT s_suppkey, CAST((s_nationkey + 1) * 2 AS DOUBLE) AS area, s_nationkey >= 5 AS inside, round(CAST(greatest(0, 5 - (s_nationkey + 1)) AS DOUBLE), 6) AS dist FROM supplier")
