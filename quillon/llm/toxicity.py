@@ -3,12 +3,16 @@
 Lexicon.  From a bounded sample of the labelled training rows (max_training, a
 parameter) whole words and word beginnings are counted by label; those with enough
 support and smoothed purity become terms, a beginning only where several words share it.
+The words under a beginning stay as its inflections.
 
 Automaton.  The terms form a trie.  Its intersection with the Levenshtein automata of
-distance 1 (insertions, deletions, substitutions; only for words of min_fuzzy letters or
-more whose near words are in at most a share max_near of the clean sample) is determinised into one transition table over character classes.  All words of a
-batch walk the table side by side, a step a character; words that reach the dead state
-leave at once.
+distance 1 (insertions, deletions, substitutions; only for terms and inflections of
+min_fuzzy letters or more; in a beginning before its last letter, as the words under it
+go on freely) is determinised into one transition table over character classes.  All
+words of a batch walk the table side by side, a step a character; words that reach the
+dead state leave at once.  Near words of a term that clean documents have are no hits,
+those of the cleanest evidence first, until the rest is in at most a share max_near of
+the clean sample; other misspellings of that term stay hits.
 
 Context.  Each hit looks at the words around it: inside quotation marks or beside a
 reporting word it counts as quotation, else as abuse, and a second-person word beside it
@@ -49,29 +53,35 @@ class Automaton:
     """Deterministic table of the lexicon within distance 1.  State 0 is dead, 1 the start.
 
     final[state]: 0 none, 1 exact term or beginning, 2 within distance 1; term[state]: its place in words + stems.
-    fuzzy: the words that allow an edit.
+    fuzzy: the words, stems and inflections that allow an edit; under: inflection -> its stem; clean: near words that are no hits.
     """
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy: set[str]):
+    def __init__(self, words: list[str], stems: list[str], fuzzy: set[str], under: dict[str, str] | None = None, clean: frozenset[str] = frozenset()):
         kids: list[dict[str, int]] = [{}]
-        whole, stem, far, name = set(), {}, {}, {}
-        for term, marks in [*((w, whole) for w in words), *((s, stem) for s in stems)]:
+        under, self.clean = {w: s for w, s in (under or {}).items() if w in fuzzy}, clean
+        place = {s: len(words) + i for i, s in enumerate(stems)}
+        whole, stem, far, name, near_end = set(), {}, {}, {}, {}
+        for term, marks in [*((w, whole) for w in words), *((s, stem) for s in stems), *((w, under) for w in under)]:
             node = 0
             for ch in term:
                 if ch not in kids[node]:
                     kids.append({})
                     kids[node][ch] = len(kids) - 1
                 node = kids[node][ch]
-                if marks is whole and term in fuzzy:
+                if term in fuzzy:
                     far[node] = True  # lies on a path of a term that allows an edit
             if marks is whole:
                 whole.add(node)
                 name[node] = words.index(term)
-            else:
+                if term in fuzzy:
+                    near_end[node] = name[node]
+            elif marks is stem:
                 stem[node] = term
+            else:
+                near_end[node] = place[under[term]]
         letters = sorted({ch for k in kids for ch in k})
         self.classes = {ch: i + 1 for i, ch in enumerate(letters)}  # class 0: any other letter
-        fuzzy_end = {n for n in whole if words[name[n]] in fuzzy}
+        loose = {n: place[s] for n, s in stem.items() if s in fuzzy}
 
         def close(states: set[tuple[int, int]]) -> frozenset:
             out, todo = set(states), [s for s in states if s[1] == 0]
@@ -90,12 +100,17 @@ class Automaton:
                 nxt: set[tuple[int, int]] = set()
                 hit = False
                 for node, e in now:
+                    if node < 0:  # a beginning within distance 1, whatever follows
+                        nxt.add((node, 1))
+                        continue
                     if ch in kids[node] and (e == 0 or kids[node][ch] in far):
                         k = kids[node][ch]
                         hit |= e == 0 and k in stem
                         if e == 0 and k in stem:
                             reached = stems.index(stem[k])
                         nxt.add((k, e))
+                        if e == 1 and k in loose:
+                            nxt.add((-1 - loose[k], 1))
                     if e == 0:
                         if node in far or node == 0:
                             nxt.add((node, 1))  # a letter too many
@@ -103,14 +118,15 @@ class Automaton:
                 if hit:
                     row.append(-1 - reached)
                     continue
-                nxt_ = close(nxt)
+                most = max((n for n, _ in nxt if n < 0), default=0)
+                nxt_ = close({(n, e) for n, e in nxt if n >= 0 or n == most})
                 if not nxt_:
                     row.append(0)
                     continue
                 if nxt_ not in index:
                     index[nxt_] = len(order) + 1
                     order.append(nxt_)
-                    near = min((name[n] for n, e in nxt_ if e == 1 and n in fuzzy_end), default=-1)
+                    near = min((-1 - n if n < 0 else near_end[n] for n, e in nxt_ if e == 1 and (n < 0 or n in near_end)), default=-1)
                     exact = min((name[n] for n, e in nxt_ if e == 0 and n in whole), default=-1)
                     final.append(1 if exact >= 0 else 2 if near >= 0 else 0)
                     term_of.append(exact if exact >= 0 else near)
@@ -151,10 +167,19 @@ class Automaton:
             go = (state > 0) & ~over
             live, state, at = live[go], state[go], at[go]
         found, kinds = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, kinds))
+        if self.clean:
+            near = np.flatnonzero(self.final[kinds] == 2)
+            keep = np.ones(len(found), bool)
+            keep[near] = [word(points, start[w], end[w]) not in self.clean for w in found[near]]
+            found, kinds = found[keep], kinds[keep]
         order = np.argsort(found)
         return start, end, np.searchsorted(start, bounds), found[order], kinds[order]
 
 
+def word(points: np.ndarray, start: int, end: int) -> str:
+    return points[start:end].tobytes().decode("utf-32-le", "replace").lower()
+
+
 def context(points: np.ndarray, lo: int, start: int, end: int, hi: int) -> tuple[bool, bool]:
     """Whether the hit [start, end) is quoted, and addressed, by the text of lo..hi around it."""
     left = points[lo:start].tobytes().decode("utf-32-le", "replace").lower()
@@ -170,21 +195,34 @@ def code_points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(c.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
 
 
-def near_terms(auto: Automaton, sample: DataFrame) -> dict[int, tuple[int, int]]:
-    """Term -> documents of the sample by label (clean, toxic) with a word at distance 1 of it."""
+def near_words(auto: Automaton, sample: DataFrame) -> list:
+    """term, word, clean, toxic: documents of the sample by label with a word at distance 1 of the term."""
 
     def run(batches):
         for b in batches:
             labels = b.column(1).to_numpy()
             for lo, _, c in chunks(b.column(0)):
                 points, heads = code_points(c)
-                _, _, bounds, found, states = auto.hits(points, heads[c.off])
+                start, end, bounds, found, states = auto.hits(points, heads[c.off])
                 near = auto.final[states] == 2
-                pairs = np.unique(np.column_stack([np.searchsorted(bounds, found[near], "right") - 1, auto.term[states[near]]]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(labels[lo + pairs[:, 0]])], ["term", "label"])
+                owner = np.searchsorted(bounds, found[near], "right") - 1
+                seen = sorted({(d, t, word(points, start[w], end[w])) for d, t, w in zip(owner.tolist(), auto.term[states[near]].tolist(), found[near].tolist(), strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.string()), pa.array(labels[lo + np.array([x[0] for x in seen], np.int64)], pa.int32())], ["term", "word", "label"])
+
+    return sample.select("text", "label").mapInArrow(run, "term long, word string, label int").groupBy("term", "word").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")).collect()  # the near words of a bounded sample
+
 
-    rows = sample.select("text", "label").mapInArrow(run, "term long, label int").groupBy("term").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")).collect()  # a row a term at most
-    return {r.term: (r.clean, r.toxic) for r in rows}
+def clean_words(rows: list, most: float, bad: int, good: int) -> frozenset[str]:
+    """Of each term's near words those that go, the cleanest evidence first, until the rest is in at most `most` clean documents."""
+    out: set[str] = set()
+    left: dict[int, float] = {}
+    for r in rows:
+        left[r.term] = left.get(r.term, 0) + r.clean
+    for r in sorted((r for r in rows if r.clean), key=lambda r: (r.toxic / bad - r.clean / good, r.word)):
+        if left[r.term] > most and r.toxic / bad <= r.clean / good:
+            out.add(r.word)
+            left[r.term] -= r.clean
+    return frozenset(out)
 
 
 def hit_counts(auto: Automaton, strength: np.ndarray, column: pa.Array):
@@ -231,8 +269,8 @@ def count_terms(sample: DataFrame, longest: int = 20) -> DataFrame:
     return parts.groupBy("term", "is_word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_lexicon(rows: list, max_terms: int, bad: int, good: int) -> tuple[list[str], list[str], np.ndarray]:
-    """Pure words, the shortest pure beginnings that no single word accounts for, and the strength of each: log odds in fifths."""
+def choose_lexicon(rows: list, max_terms: int, bad: int, good: int) -> tuple[list[str], list[str], np.ndarray, dict[str, str]]:
+    """Pure words, the shortest pure beginnings that no single word accounts for, the strength of each: log odds in fifths, and the pure words under a beginning."""
     words = {r.term: r.toxic for r in rows if r.is_word}
     stems: list[str] = []
     for r in sorted((r for r in rows if not r.is_word), key=lambda r: (len(r.term), r.term)):
@@ -243,7 +281,8 @@ def choose_lexicon(rows: list, max_terms: int, bad: int, good: int) -> tuple[lis
     words_, stems_ = keep[:max_terms], stems[:max_terms]
     seen = {(r.term, r.is_word): (r.toxic, r.clean) for r in rows}
     odds = [(a + 0.5) / (bad + 1) / ((b + 0.5) / (good + 1)) for a, b in [*(seen[w, True] for w in words_), *(seen[x, False] for x in stems_)]]
-    return words_, stems_, np.clip(np.log(odds) / 5, 0.2, 1.5)
+    under = {w: s for w in sorted(words) for s in stems_ if w.startswith(s)}
+    return words_, stems_, np.clip(np.log(odds) / 5, 0.2, 1.5), under
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 0.2) -> np.ndarray:
@@ -276,14 +315,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remain
     least = max(3, int(0.01 * bad))
     if bad:
         chosen = count_terms(sample).where((F.col("toxic") >= least) & ((F.col("toxic") + 0.1) / (F.col("toxic") + F.col("clean") + 1) >= purity))
-        words, stems, strength = choose_lexicon(chosen.orderBy(F.desc("toxic"), "term", "is_word").limit(20 * max_terms).collect(), max_terms, bad, good)
+        words, stems, strength, under = choose_lexicon(chosen.orderBy(F.desc("toxic"), "term", "is_word").limit(20 * max_terms).collect(), max_terms, bad, good)
     else:
-        words, stems, strength = [], [], np.zeros(0)
-    fuzzy = {w for w in words if len(w) >= min_fuzzy}
-    if fuzzy:  # a term whose near words are common in clean documents matches exactly only
-        common = near_terms(Automaton(words, stems, fuzzy), sample)
-        fuzzy -= {words[t] for t, (clean, _) in common.items() if clean > max_near * good}
-    auto = Automaton(words, stems, fuzzy)
+        words, stems, strength, under = [], [], np.zeros(0), {}
+    fuzzy = {w for w in [*words, *stems, *under] if len(w) >= min_fuzzy}
+    auto = Automaton(words, stems, fuzzy, under)
+    if fuzzy:  # near words that are common in clean documents are no hits
+        auto.clean = clean_words(near_words(auto, sample), max_near * good, bad, good)
 
     def kinds(batches):
         for b in batches:
