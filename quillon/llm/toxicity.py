@@ -138,16 +138,19 @@ class Automaton:
         table[absorb:] = np.arange(absorb, len(table))[:, None]
         self.table, self.final, self.term = table, np.array([*final, *[1] * len(stems)], np.int8), np.array([*term_of, *range(len(words), len(words) + len(stems))])
         # code point -> class; -1 separates words
-        self.code = np.full(0x3000, -1, np.int16)
-        for i in range(0x3000):
-            ch = chr(i)
-            if ch.isalnum():
-                low = ch.lower()
-                self.code[i] = self.classes.get(low, 0) if len(low) == 1 else 0
+        self.code = np.array([self.class_of(i) for i in range(0x3000)], np.int16)
+
+    def class_of(self, point: int) -> int:
+        ch = chr(point)
+        return self.classes.get(ch.lower(), 0) if ch.isalnum() else -1
 
     def hits(self, points: np.ndarray, bounds: np.ndarray):
         """Word starts, ends, word bounds of documents, the hit words and their final states."""
-        cls = np.where(points < 0x3000, self.code[np.minimum(points, 0x2FFF)], 0)
+        cls = self.code[np.minimum(points, 0x2FFF)]
+        high = np.flatnonzero(points >= 0x3000)
+        if len(high):  # beyond the table, each different one once
+            kinds, at = np.unique(points[high], return_inverse=True)
+            cls[high] = np.array([self.class_of(x) for x in kinds.tolist()], np.int16)[at]
         solid = np.zeros(len(points) + 1, bool)
         solid[:-1] = cls >= 0
         edge = np.zeros(len(points) + 1, bool)

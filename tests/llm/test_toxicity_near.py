@@ -55,3 +55,13 @@ def test_a_common_near_word_does_not_switch_off_misspellings(spark):
     labels = spark.createDataFrame([(x[0], x[2]) for x in data], "doc_id long, toxic int")
     out = {r.doc_id: r.predicted for r in toxicity_scores(d, labels, remainder=None).collect()}
     assert out[1000] == 1 and out[1001] == 0 and out[1002] == 1
+
+
+def test_letters_and_punctuation_beyond_the_table():
+    terms = ["坏人蛋", "바보같은놈"]
+    auto = Automaton(terms, [], {"바보같은놈"})
+    words = ["好", "坏人蛋", "你坏人蛋", "바보같은놈", "바보가같은놈", "𠀀", "좋은"]
+    points = np.frombuffer("。".join(words).encode("utf-32-le"), np.uint32)
+    start, _, _, found, states = auto.hits(points, np.array([0, len(points)]))
+    assert len(start) == len(words)
+    assert dict(zip(found.tolist(), auto.final[states].tolist(), strict=True)) == {1: 1, 3: 1, 4: 2}
