@@ -278,6 +278,17 @@ def _items(k: int):
     return run
 
 
+def _nodes(k: int):
+    """mapInArrow of text: rows (text, node)."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, c in chunks(b.column(0)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([node_of(s) for s in item_sets(c, k)], pa.int64())], ["text", "node"])
+
+    return run
+
+
 def _refine(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """node, label: clusters among the nodes of texts by shared rare items; nodes without a partner are left out.
 
@@ -312,7 +323,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
     cand = clusters.join(sizes, "label").join(first, "node").select("doc_id", "node", "label", "size")
     # the same plan at every size
-    texts = materialize(docs.select("doc_id", "text").join(materialize(cand).hint("merge"), "doc_id"))
+    cand = materialize(cand)
+    texts = docs.select("doc_id", "text").join(cand.hint("merge"), "doc_id")
+    unnamed = cand.where("doc_id is null").drop("doc_id")
+    if not unnamed.isEmpty():  # classes without any doc_id: found again by their node, a text a class
+        again = docs.where("doc_id is null").select("text").mapInArrow(_nodes(k), "text string, node long").groupBy("node").agg(F.min("text").alias("text"))
+        texts = texts.unionByName(again.join(unnamed, "node").withColumn("doc_id", F.lit(None).cast(texts.schema["doc_id"].dataType)))
+    texts = materialize(texts)
     release(docs.sparkSession)
     large = texts.where(F.col("size") > block_rows)
     if not large.isEmpty():
