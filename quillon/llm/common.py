@@ -37,7 +37,16 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialize() returned and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -90,6 +99,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0][:n], _POW[1][:n]
 
 
+_NEAR = 64  # places whose values are in a table
+with np.errstate(over="ignore"):
+    _PLACED = mix(mix(np.arange(_NEAR * 256, dtype=np.uint64) * _GOLD) + _GOLD)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WHITE = np.zeros(256, bool)
@@ -113,7 +127,32 @@ class Chunk:
         return self._prefix
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte string [start, end)."""
+        """A 64-bit hash of each of the disjoint, ascending, non-empty byte strings [start, end).
+
+        It sums a random value of each (place in the string, byte), so it has no algebra that
+        makes long strings of a pattern collide.
+        """
+        n = end - start
+        if not len(n):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int64)
+        byte = self.data[place + np.repeat(start - first, n)]
+        place -= np.repeat(first, n)
+        far = np.flatnonzero(place >= _NEAR)
+        place <<= 8
+        place += byte
+        if len(far):
+            beyond = place[far].astype(np.uint64)
+            place[far] = 0
+        value = _PLACED[place]
+        with np.errstate(over="ignore"):
+            if len(far):
+                value[far] = mix(mix(beyond * _GOLD) + _GOLD)
+            return mix(np.add.reduceat(value, first) + n.astype(np.uint64) * _GOLD)
+
+    def window_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit polynomial hash of each byte string [start, end); they may overlap, and should be of some hundred bytes at most."""
         p, (_, down) = self.prefix(), _powers(len(self.data) + 1)
         with np.errstate(over="ignore"):
             return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64) * _GOLD)

@@ -61,7 +61,7 @@ def runs_of(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         return nothing
     width = size - GRAM + 1
     start = np.arange(n - GRAM + 1)
-    gram = c.hashes(start, start + GRAM)
+    gram = c.window_hashes(start, start + GRAM)
     low = _sliding(gram, width, np.minimum)
     doc = np.repeat(np.arange(c.n), np.diff(c.off))
     valid = np.arange(len(low)) + size <= c.off[doc[: len(low)] + 1]
@@ -112,7 +112,7 @@ def _run_blobs(size: int, buckets: int, flush: int = 1_000_000):
                 keep = fresh[doc]
                 least, first, last, doc, inner = least[keep], first[keep], last[keep], doc[keep], inner[keep]
                 rows = np.zeros(len(least), RUN)
-                rows["least"], rows["content"] = least, c.hashes(first, last + size)
+                rows["least"], rows["content"] = least, c.window_hashes(first, last + size)
                 rows["text"], rows["doc"] = texts[lo:hi][doc], ids[lo:hi][doc]
                 rows["lo"], rows["hi"] = first - c.off[doc], last - c.off[doc]
                 rows["inner"] = inner
@@ -188,7 +188,7 @@ def _fetch(size: int, cells: int, keep: str):
                         continue
                     part = np.frombuffer(text, np.uint8)[r["lo"] : r["hi"] + size]
                     at = np.arange(len(part) - size + 1)
-                    for s, h in zip(at.tolist(), (Chunk(part, np.array([0, len(part)])).hashes(at, at + size) ^ np.uint64(r["least"] % (1 << 64))).view(np.int64).tolist(), strict=True):
+                    for s, h in zip(at.tolist(), (Chunk(part, np.array([0, len(part)])).window_hashes(at, at + size) ^ np.uint64(r["least"] % (1 << 64))).view(np.int64).tolist(), strict=True):
                         place = (r["doc"], r["lo"] + s, r["text_hash"])
                         other = seen.get(h)
                         if other is None:
@@ -254,7 +254,7 @@ def repeats(pieces: list[bytes], group: np.ndarray, rank: np.ndarray, size: int,
     owner = np.repeat(np.arange(len(pieces)), strings)
     offset = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(strings)[:-1]]), strings)
     at = base[owner] + offset
-    key = Chunk(data, np.array([0, len(data)])).hashes(at, at + size) ^ mix(group[owner].astype(np.int64).view(np.uint64))
+    key = Chunk(data, np.array([0, len(data)])).window_hashes(at, at + size) ^ mix(group[owner].astype(np.int64).view(np.uint64))
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(key), bool)
