@@ -8,7 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
-from quillon.llm.jaccard_join import Schemes, ngram_jaccard_join
+from quillon.llm.common import Chunk
+from quillon.llm.jaccard_join import ngram_jaccard_join, overlaps
 from quillon.llm.quality_classifier import quality_scores
 from quillon.llm.quality_rules import GRID, RULES, quality_rules, select_cutoffs, upper_bound
 from quillon.llm.sentencepiece_fst import Transducer, sentencepiece_round_trip
@@ -214,19 +215,38 @@ def test_jaccard_links_and_empty(spark, docs, empty):
     assert ngram_jaccard_join(empty).count() == 0
 
 
-def test_schemes_never_miss():
-    """Any two sets within the bound share a key."""
+def test_overlaps_are_exact():
     rng = random.Random(4)
-    for num, den in ((85, 100), (80, 100), (50, 100)):
-        s = Schemes(num, den)
-        for _ in range(300):
-            a = {rng.getrandbits(64) for _ in range(rng.randint(1, 120))}
-            b = set(rng.sample(sorted(a), max(1, int(len(a) * rng.uniform(num / den, 1)))))
-            while rng.random() < 0.7:
-                b.add(rng.getrandbits(64))
-            if den * len(a & b) >= num * len(a | b):
-                ka, kb = (set(s.keys(np.array(sorted(x), np.uint64)).tolist()) for x in (a, b))
-                assert ka & kb
+    for g in (2, 7, 60):
+        common = [rng.getrandbits(60) for _ in range(80)]
+        sets = [sorted({rng.choice(common) for _ in range(rng.randint(1, 70))} | {rng.getrandbits(60)}) for _ in range(g)]
+        got = overlaps([np.array(s, np.uint64) for s in sets], cells=1 << 10, few=5)
+        assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(g) for j in range(i))
+
+
+def test_frequent_passages_and_small_flushes(spark):
+    """Items that many sets hold, copies in all tasks, and items marked as held often by some tasks only."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    data = []
+    for i in range(500):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 20, 100]))]
+        data.append((i, " ".join([*own, passage]) if i % 3 else " ".join(own)))
+    data += [(1000 + i, data[i % 7][1]) for i in range(200)]
+    data += [(2000 + i, data[i % 11][1] + f" x{i % 13}") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs, 4, 85, 100).collect())
+    assert got == brute_components(data, 4, 85, 100)
+
+
+def test_word_hashes_have_no_algebra():
+    """A Thue-Morse word and its complement collide under polynomial hashes modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    words = [bytes(97 + b for b in bits), bytes(98 - b for b in bits)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    c = Chunk(data, np.array([0, 4096, 8192]))
+    a, b = c.hashes(np.array([0, 4096]), np.array([4096, 8192]))
+    assert a != b
 
 
 # ------------------------------------------------------------------ suffix-array dedup
