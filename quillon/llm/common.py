@@ -8,11 +8,11 @@ Nothing is cut: a document longer than the chunk size makes a chunk of its own.
 from __future__ import annotations
 
 import atexit
-import gc
+import ctypes
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +49,37 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished plans now: it does once the driver has collected them as garbage."""
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    for _ in range(3 if jvm is not None else 0):  # what one collection frees holds on to what the next one can
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.3)
+def trim() -> None:
+    """Give memory that the allocators of this worker hold but do not use back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function whose worker, which later tasks use again, trims its memory at the end of a task."""
+
+    def out(batches):
+        yield from run(batches)
+        trim()
+
+    return out
+
+
+def lean_group(run: Callable, nbytes: int = 4 << 20) -> Callable:
+    """An applyInArrow function that trims the worker's memory after each large group."""
+
+    def out(key, t):
+        large = t.nbytes > nbytes
+        result = run(key, t)
+        if large:
+            del t
+            trim()
+        return result
+
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -197,6 +221,16 @@ def batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def text_slices(b: pa.RecordBatch, column: int, size: int = 2 << 20):
+    """Slices of a batch of whole rows, each with about size bytes of a string column."""
+    _, off = batch_bytes(b.column(column))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def chunks(column: pa.Array, size: int = 1 << 20):
     """(first row, last row + 1, Chunk) over a string column, each of about size bytes."""
     data, off = batch_bytes(column)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import WHITE, Chunk, chunks, combine, doc_of, mix
+from quillon.llm.common import WHITE, Chunk, chunks, combine, doc_of, lean, mix
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = [
@@ -99,4 +99,4 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 s = statistics(c)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), *(pa.array(s[k]) for k in COUNTS)], ["doc_id", *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Chunk, chunks, combine, discard, materialize, mix, shuffle_partitions
+from quillon.llm.common import LOWER, Chunk, chunks, combine, discard, lean, lean_group, materialize, mix, shuffle_partitions
 from quillon.llm.components import attach_least, connected_components
 
 HOT = 63
@@ -324,8 +324,8 @@ def _clusters(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, D
     """Rows (doc_id, n_shingles, node) of docs, clusters (node, label), and what to discard in the end."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = min(1 << 22, max(shuffle_partitions(docs.sparkSession), size >> 23))  # of some 8 MB of text each
-    sent = docs.select("doc_id", "text").mapInArrow(_sent_items(k, num, den, buckets), SENT)
-    ranked = materialize(sent.groupBy("bucket").applyInArrow(_ranked, "doc_id long, n long, node long, spare long, rank long"))
+    sent = docs.select("doc_id", "text").mapInArrow(lean(_sent_items(k, num, den, buckets)), SENT)
+    ranked = materialize(sent.groupBy("bucket").applyInArrow(lean_group(_ranked), "doc_id long, n long, node long, spare long, rank long"))
     rows = ranked.where("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "node", "spare")
     spare = rows.where("node <> 0").groupBy("node").agg(F.min("spare").alias("spare"))
     shared = ranked.where("n is null").select("node", F.lit(None).cast("long").alias("spare"), "rank")
@@ -354,7 +354,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     texts = texts_of(docs, cand).join(cand.hint("merge"), "doc_id")
     unnamed = cand.where("doc_id is null").drop("doc_id")
     if not unnamed.isEmpty():  # classes without any doc_id: found again by their node, a text a class
-        again = docs.where("doc_id is null").select("text").mapInArrow(_nodes(k), "text string, node long").groupBy("node").agg(F.min("text").alias("text"))
+        again = docs.where("doc_id is null").select("text").mapInArrow(lean(_nodes(k)), "text string, node long").groupBy("node").agg(F.min("text").alias("text"))
         texts = texts.unionByName(again.join(unnamed, "node").withColumn("doc_id", F.lit(None).cast(texts.schema["doc_id"].dataType)))
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
@@ -363,7 +363,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(parts))).alias("cell"),
         F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"),
     )
-    forest = materialize(cells.groupBy("big", "cell", "bi", "bj").applyInArrow(_product(k, num, den), "node long, root long, links long, big boolean"))
+    forest = materialize(cells.groupBy("big", "cell", "bi", "bj").applyInArrow(lean_group(_product(k, num, den)), "node long, root long, links long, big boolean"))
     degrees = forest.groupBy("node").agg(F.sum("links").alias("n_links"))
     large = forest.where("big and node <> root")
     comp = forest.where("not big").select("node", F.col("root").alias("comp"))

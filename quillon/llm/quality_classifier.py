@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import lean, materialize
 from quillon.llm.docstats import COUNTS, document_statistics
 
 N_FEATURES = 13
@@ -91,7 +91,7 @@ def fit(training: DataFrame) -> Model:
                 total[c, 1 + N_FEATURES :] += (v.T @ v).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], size)), pa.array(np.tile(np.arange(size), 2)), pa.array(total.ravel())], ["label", "at", "value"])
 
-    sums = training.select(*COUNTS, "label").mapInArrow(moments, "label long, at long, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()  # 2 * size rows
+    sums = training.select(*COUNTS, "label").mapInArrow(lean(moments), "label long, at long, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()  # 2 * size rows
     total = np.zeros((2, size))
     for label, at, value in sums:
         total[label, at] = value
@@ -113,5 +113,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(_matrix(b)))], ["doc_id", "score"])
 
-    out = stats.select("doc_id", *COUNTS).mapInArrow(score, "doc_id long, score double")
+    out = stats.select("doc_id", *COUNTS).mapInArrow(lean(score), "doc_id long, score double")
     return out.withColumn("held_out", held_out(modulus, remainder)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -57,25 +57,33 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction: a number of steps about the root of a + b at most."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    for m in range(1, 10_000_000):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + t * d or tiny), 1 + t / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
 def upper_bound(k: int, n: int, alpha: float) -> float:
     """Clopper-Pearson: the p at which P(X <= k) = alpha for X binomial(n, p); 1 if k = n."""
     if k >= n:
         return 1.0
-
-    def tail(p: float) -> float:
-        if p <= 0:
-            return 1.0
-        if p >= 1:
-            return 0.0
-        a, b = math.log(p), math.log1p(-p)
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * a + (n - i) * b for i in range(k + 1)]
-        top = max(logs)
-        return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
-
     lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if tail(mid) > alpha else (lo, mid)
+        lo, hi = (mid, hi) if beta_share(1 - mid, n - k, k + 1) > alpha else (lo, mid)
     return hi
 
 
@@ -94,11 +102,21 @@ def select_cutoffs(counts: dict[int, dict], max_false_rejection: float, delta: f
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, delta: float = 0.05) -> dict[tuple[int, str], float]:
-    """Cutoffs by (stratum, rule); all labelled rows count, as sums in one aggregation."""
+    """Cutoffs by (stratum, rule); all labelled rows count, as a histogram of how many cutoffs of the grid a document exceeds."""
     good = stats.join(labels.where("quality = 1 and doc_id is not null").select("doc_id"), "doc_id").where(~base_failed())
-    beyond = [F.sum((ratio(r) > cut).cast("long")).alias(f"{r}_{i}") for r in RULES for i, cut in enumerate(GRID)]
-    rows = good.groupBy(band().alias("stratum")).agg(F.count("*").alias("n"), *beyond).collect()  # one row a stratum
-    counts = {x["stratum"]: {"n": x["n"]} | {(r, i): x[f"{r}_{i}"] for r in RULES for i in range(len(GRID))} for x in rows}
+    grid = F.array(*(F.lit(x) for x in GRID))
+
+    def level(rule: str) -> Column:
+        return F.size(F.filter(grid, lambda cut: ratio(rule) > cut))
+
+    levels = [F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES]
+    each = good.select(band().alias("stratum"), F.explode(F.array(*levels)).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count("*").alias("n"))
+    counts: dict[int, dict] = {}
+    for x in each.collect():  # strata * rules * (cutoffs + 1) rows at most
+        c = counts.setdefault(x["stratum"], {"n": 0} | {(r, i): 0 for r in RULES for i in range(len(GRID))})
+        c["n"] += x["n"] if x["rule"] == next(iter(RULES)) else 0
+        for i in range(x["level"]):
+            c[x["rule"], i] += x["n"]
     return select_cutoffs(counts, max_false_rejection, delta)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Chunk, chunks, materialize
+from quillon.llm.common import LOWER, Chunk, chunks, lean, materialize
 
 BITS = 14
 
@@ -92,7 +92,7 @@ def fit_classifier(docs: DataFrame, domain: str, max_training: int, max_domains:
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(w), pa.array(total[d, w])], ["d", "w", "n"])
 
     counts = np.zeros((len(names) + 1, 1 << BITS))
-    for r in sample.select("text", "domain").mapInArrow(count, "d long, w long, n long").groupBy("d", "w").agg(F.sum("n").alias("n")).toLocalIterator():  # (domains + 1) * 2**BITS rows at most
+    for r in sample.select("text", "domain").mapInArrow(lean(count), "d long, w long, n long").groupBy("d", "w").agg(F.sum("n").alias("n")).toLocalIterator():  # (domains + 1) * 2**BITS rows at most
         counts[r.d, r.w] = r.n
     words = counts[:-1].T + 0.5
     prior = np.log(counts[-1, : len(names)] + 1)
@@ -114,7 +114,7 @@ def fit_rates(posteriors: DataFrame, model: Mixture, targets: dict | None, tempe
                     total += (n * model.rates(p)) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "value"])
 
-        rows = posteriors.select("n_tokens", "posterior").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+        rows = posteriors.select("n_tokens", "posterior").mapInArrow(lean(run), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
         out = np.zeros(d * d + d if moments else d)
         for at, value in rows:
             out[at] = value
@@ -158,7 +158,7 @@ def fit_mixture(docs: DataFrame, domain: str = "lang", targets: dict | None = No
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n), lists], ["doc_id", "n_tokens", "posterior"])
 
-    posteriors = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>"))
+    posteriors = materialize(docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, posterior array<double>"))
     return model, posteriors, fit_rates(posteriors, model, targets, temper, keep_all, rounds, tolerance)
 
 
@@ -171,7 +171,7 @@ def soft_mixing_rates(docs: DataFrame, **options) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.rates(b.column(2).flatten().to_numpy().reshape(-1, d)))], ["doc_id", "n_tokens", "posterior", "rate"])
 
-    return posteriors.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
+    return posteriors.mapInArrow(lean(run), "doc_id long, n_tokens long, posterior array<double>, rate double")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -187,7 +187,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     rated = docs.select(F.col("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     schema = rated.select("__row").schema.add("__rate", "double")
-    rated = rated.mapInArrow(run, schema)
+    rated = rated.mapInArrow(lean(run), schema)
     draw = F.pmod(F.xxhash64("__row", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")
     return rated.withColumn("__n", times).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select("__row.*")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Chunk, batch_bytes, chunks, materialize, mix, release, shuffle_partitions
+from quillon.llm.common import Chunk, batch_bytes, chunks, discard, lean, lean_group, materialize, mix, shuffle_partitions
 
 GRAM = 64
 RUN = np.dtype([("least", "<u8"), ("content", "<u8"), ("text", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("inner", "<u4")])
@@ -366,21 +366,20 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
         raise ValueError(f"min_bytes must be {GRAM} at least")
     parts = 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    blobs = rows.mapInArrow(_run_blobs(min_bytes, parts), "bucket int, blob binary")
-    found = materialize(blobs.groupBy("bucket").applyInArrow(_group_runs(min_bytes, keep, hot_runs), FOUND))
-    release(docs.sparkSession)
+    blobs = rows.mapInArrow(lean(_run_blobs(min_bytes, parts)), "bucket int, blob binary")
+    found = materialize(blobs.groupBy("bucket").applyInArrow(lean_group(_group_runs(min_bytes, keep, hot_runs)), FOUND))
     wanted = found.where("fetch").groupBy("text_hash", "doc").agg(F.collect_list(F.struct("text_hash", "doc", "lo", "hi", "least", "hot")).alias("runs"))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
     texts = rows.select("text", "text_hash", order.alias("doc")).join(wanted.hint("merge"), ["text_hash", "doc"]).select("text", "runs")
-    pieces = texts.mapInArrow(_fetch(min_bytes, parts, keep), PIECE)
+    pieces = texts.mapInArrow(lean(_fetch(min_bytes, parts, keep)), PIECE)
     spread = F.when(F.col("done"), F.pmod(F.xxhash64("text_hash", "lo"), F.lit(parts)).cast("int")).otherwise(F.col("cell"))
-    ends = pieces.withColumn("cell", spread).groupBy("cell").applyInArrow(_settle(min_bytes, keep), "text_hash long, lo long, hi long")
+    ends = pieces.withColumn("cell", spread).groupBy("cell").applyInArrow(lean_group(_settle(min_bytes, keep)), "text_hash long, lo long, hi long")
     spans = ends.unionByName(found.where("not fetch").select("text_hash", "lo", "hi"))
     spans = spans.groupBy("text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     copies = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("first_doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).where("n > 1")
     copies = copies.select("text_hash", F.lit(True).alias("copies"), F.when(F.col("nulls") == 0, F.col("first_doc")).alias("first_doc"))
     known = materialize(spans.join(copies, "text_hash", "full"))
-    release(docs.sparkSession)
+    discard(found)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if pass_columns else F.lit(0)
     schema = docs.select(row.alias("r")).schema["r"].dataType.simpleString() if pass_columns else ""
     schema = f"document {schema}" if pass_columns else "doc_id long"
@@ -388,4 +387,4 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     all_rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), row.alias("row"))
     joined = all_rows.join(known.hint("merge"), "text_hash", "left")  # the same plan at every size
     final = joined.select("id", "body", "spans", "copies", "first_doc", "row")
-    return final.mapInArrow(_remove(min_bytes, keep, with_text, pass_columns), schema)
+    return final.mapInArrow(lean(_remove(min_bytes, keep, with_text, pass_columns)), schema)

@@ -17,6 +17,7 @@ gives an empty file set; other columns are not written.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir, shuffle_partitions
+from quillon.llm.common import lean, shared_dir, shuffle_partitions, text_slices
+from quillon.llm.word_cache import WordCache
 
 SCHEMA = "part int, doc_id long, n_tokens long, part_start long, ids array<int>"
 
@@ -40,19 +42,19 @@ BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 class WordEncoder:
     """Ids of whole texts by a cache of words; equals encode() of the text as one string.
 
-    A word of letters that lower-casing and composition leave letters is one word to the
-    tokenizer too, so the library's model encodes it directly; any other goes through the
-    whole tokenizer.  Ids are kept and joined as little-endian 32-bit bytes.  The cache has
-    two generations of most words at the most; words in use move to the young one.
+    That holds for tokenizers whose normaliser and pre-tokenizer drop white space and never
+    look across it, as blanks_split() checks.  A word of letters that lower-casing and
+    composition leave letters is one word to the tokenizer too, so the library's model encodes
+    it directly; any other goes through the whole tokenizer.  Ids are little-endian 32-bit bytes.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.words = WordCache(self._word)
+        self.split = blanks_split(json.loads(self.tokenizer.to_str()))
 
     def _new(self, word: str) -> bytes:
         if word.isalpha() and word.lower() == word and is_normalized("NFC", word):
@@ -61,40 +63,39 @@ class WordEncoder:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, "<i4").tobytes()
 
-    def _get(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = self.old.get(word) or self._new(word)
-        return ids
-
-    def learn(self, words: set[str]) -> None:
-        """Cache words.  A word of letters and a tail of ASCII marks is encoded as its two parts."""
-        for w in words:
-            ids = self.old.get(w)
-            if ids is None:
-                core = w.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-                low = core.lower()
-                if core.isalpha() and low.isalpha() and "\u03a3" not in core:  # capital sigma lower-cases by its place
-                    ids = self._get(low) + self._get(w[len(core) :])
-                else:
-                    ids = self._new(w)
-            self.words[w] = ids
-
-    def encode(self, texts: list[str], slice_chars: int = 1 << 20):
-        """The ids of each text as bytes, some texts at a time."""
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < slice_chars):
-                size += len(texts[to])
-                to += 1
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:to]]
-            if len(self.words) > self.most:
-                self.words, self.old = {"": b""}, self.words
-            self.learn(set().union(*split).difference(self.words))
-            for s in split:
-                yield b"".join(map(self.words.__getitem__, s))
-            at = to
+    def _word(self, word: str) -> bytes:
+        """A word of letters and a tail of ASCII marks is encoded as its two parts."""
+        if not word:
+            return b""
+        core = word.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+        low = core.lower()
+        if core.isalpha() and low.isalpha() and "\u03a3" not in core:  # capital sigma lower-cases by its place
+            return self._new(low) if low == word else self.words.value(low) + self.words.value(word[len(core) :])
+        return self._new(word)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        if not self.split:
+            return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        get = self.words.table(set().union(*split)).__getitem__
+        return [b"".join(map(get, s)) for s in split]
+
+
+def blanks_split(spec: dict) -> bool:
+    """Whether a tokenizer's file says what WordEncoder relies on: lower case and composed letters, blanks dropped, words split by a pattern, then byte-level BPE with a word end."""
+    steps = [spec["normalizer"], *((spec["normalizer"] or {}).get("normalizers") or [])]
+    cuts = [spec["pre_tokenizer"], *((spec["pre_tokenizer"] or {}).get("pretokenizers") or [])]
+    kinds = {x["type"] for x in steps if x} - {"Sequence"}
+    split = [x for x in cuts if x and x["type"] == "Split"]
+    byte_level = [x for x in cuts if x and x["type"] == "ByteLevel"]
+    return (
+        kinds == {"NFC", "Replace", "Lowercase"}
+        and all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps if x and x["type"] == "Replace")
+        and len(split) == 1 and r"|[\p{L}]+|" in split[0]["pattern"].get("Regex", "") and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        and len(byte_level) == 1 and not byte_level[0]["add_prefix_space"]
+        and spec["model"]["type"] == "BPE" and bool(spec["model"]["end_of_word_suffix"])
+    )
 
 
 @lru_cache(maxsize=2)
@@ -111,16 +112,16 @@ def encode_to_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
         words, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            parts = [ids + end for ids in words.encode(texts)]
-            n = np.array([len(x) // 4 for x in parts], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0).cast(pa.int64()), pa.array(n), pa.array(start + np.cumsum(n) - n), ids], ["part", "doc_id", "n_tokens", "part_start", "ids"])
-            start += int(n.sum())
+        for batch in batches:
+            for b in text_slices(batch, 1):
+                parts = [ids + end for ids in words.encode([t or "" for t in b.column(1).to_pylist()])]
+                n = np.array([len(x) // 4 for x in parts], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0).cast(pa.int64()), pa.array(n), pa.array(start + np.cumsum(n) - n), ids], ["part", "doc_id", "n_tokens", "part_start", "ids"])
+                start += int(n.sum())
 
     rows = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    writer = rows.mapInArrow(run, SCHEMA).write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
+    writer = rows.mapInArrow(lean(run), SCHEMA).write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
     for column in ("doc_id", "n_tokens", "part_start"):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
     writer.option("compression", "zstd").parquet(path)
@@ -144,12 +145,11 @@ def token_digests(tokens: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(3)
-            bounds = ids.offsets.to_numpy()
-            values = ids.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(values[a:z].tobytes()) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+            bounds, values = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(values[4 * a : 4 * z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_path(spark: SparkSession) -> str:

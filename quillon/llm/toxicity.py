@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Chunk, chunks, materialize
+from quillon.llm.common import Chunk, chunks, lean, materialize
 from quillon.llm.quality_classifier import held_out
 
 # Words that mark quotation or report, and words of address.
@@ -212,7 +212,7 @@ def near_words(auto: Automaton, sample: DataFrame) -> list:
                 seen = sorted({(d, t, word(points, start[w], end[w])) for d, t, w in zip(owner.tolist(), auto.term[states[near]].tolist(), found[near].tolist(), strict=True)})
                 yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.string()), pa.array(labels[lo + np.array([x[0] for x in seen], np.int64)], pa.int32())], ["term", "word", "label"])
 
-    return sample.select("text", "label").mapInArrow(run, "term long, word string, label int").groupBy("term", "word").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")).collect()  # the near words of a bounded sample
+    return sample.select("text", "label").mapInArrow(lean(run), "term long, word string, label int").groupBy("term", "word").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")).collect()  # the near words of a bounded sample
 
 
 def clean_words(rows: list, most: float, bad: int, good: int) -> frozenset[str]:
@@ -268,7 +268,7 @@ def count_terms(sample: DataFrame, longest: int = 20) -> DataFrame:
         keys = list(seen)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([seen[k][1] for k in keys], pa.int64()), pa.array([seen[k][0] for k in keys], pa.int64())], ["term", "is_word", "toxic", "clean"])
 
-    parts = sample.select("text", "label").mapInArrow(run, "term string, is_word boolean, toxic long, clean long")
+    parts = sample.select("text", "label").mapInArrow(lean(run), "term string, is_word boolean, toxic long, clean long")
     return parts.groupBy("term", "is_word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -333,7 +333,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remain
 
     if bad:
         schema = ", ".join(f"k{i} double" for i in range(N_KINDS)) + ", label int"
-        rows = np.array(sample.mapInArrow(kinds, schema).groupBy(*(f"k{i}" for i in range(N_KINDS)), "label").agg(F.count("*").alias("n")).collect(), dtype=float).reshape(-1, N_KINDS + 2)
+        rows = np.array(sample.mapInArrow(lean(kinds), schema).groupBy(*(f"k{i}" for i in range(N_KINDS)), "label").agg(F.count("*").alias("n")).collect(), dtype=float).reshape(-1, N_KINDS + 2)
         weights = fit_logistic(np.repeat(rows[:, :N_KINDS], rows[:, -1].astype(int), 0), np.repeat(rows[:, N_KINDS], rows[:, -1].astype(int)))
     else:
         weights = np.zeros(N_KINDS + 1)
@@ -345,5 +345,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remain
                 z = np.clip(weights[0] + x @ weights[1:], -30, 30)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(x)).cast(pa.int64()), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    out = docs.select("doc_id", "text").mapInArrow(lean(score), "doc_id long, score double")
     return out.withColumn("held_out", out_of_training).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -349,6 +350,54 @@ def test_sentencepiece_is_exact():
         assert fst.decode(ids) == s
 
 
+def _field(number: int, value) -> bytes:
+    """A field of a protocol-buffer message."""
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("bpe", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("spec", [{}, {4: 0}, {3: 0, 4: 0}, {"map": 1}])
+def test_sentencepiece_made_models(tmp_path, bpe, fallback, spec):
+    """Models put together by hand, unigram and BPE, with pieces of the user, byte fallback and a character map, against the library."""
+    import sentencepiece
+
+    rng = random.Random(11)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback), ("USR", 0.0, 4), ("a\u2581b", 0.0, 4)]
+    letters = "abcde\u2581"
+    seen = {p[0] for p in pieces}
+    for i in range(150):
+        t = letters[i] if i < len(letters) else "".join(rng.choice(letters) for _ in range(rng.randint(2, 5)))
+        if t not in seen:
+            seen.add(t)
+            pieces.append((t, float(-i) if bpe else -rng.randint(1, 60) / 4, 1))
+    rules = dict(spec)
+    data = b"".join(_field(1, _field(1, t.encode()) + _field(2, score) + _field(3, kind)) for t, score, kind in pieces)
+    data += _field(2, _field(3, 2 if bpe else 1) + _field(35, int(fallback)))
+    if rules.pop("map", None):
+        data += sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto()
+    else:
+        data += _field(3, b"".join(_field(k, v) for k, v in rules.items()))
+    path = tmp_path / "made.model"
+    path.write_bytes(data)
+    fst, library = Transducer(str(path)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    for _ in range(1500):
+        s = "".join(rng.choice(["a", "b", "c", "d", "e", " ", "  ", "USR", "a b", "x", "é", "\uff21", "\u2460", "\ufb01", "\u3000", "\n"]) for _ in range(rng.randint(0, 14)))
+        assert fst.encode(s) == library.encode(s), s
+        assert np.frombuffer(fst.encode_all([s])[0], "<i4").tolist() == fst.encode(s)
+
+
 def test_sentencepiece_table(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = sentencepiece_round_trip(docs, path)
