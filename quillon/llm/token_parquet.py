@@ -7,8 +7,9 @@ dictionary, which bit-packs a vocabulary of 49k in 16 bits, and fall back to del
 Row groups and pages have set sizes and the writer adds column and offset indexes, so a
 read of some documents or only of the metadata touches few pages.
 
-The tokenizer drops white space and never looks across it, so each worker keeps the ids of
-words (runs between ASCII blanks) and asks the library only for words that are new to it.
+A tokenizer that drops white space and never looks across it gets each different word (run
+between ASCII blanks) once: a worker keeps the ids of words in a bounded cache and asks the
+library only for words that are new to it.  Any other tokenizer gets whole texts.
 
 Edge cases: null text is encoded as the empty text, which has the end id alone; null
 doc_ids come first; repeated doc_ids keep each row, in an order by text; an empty table
@@ -24,12 +25,13 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import lean, shared_dir, shuffle_partitions, text_slices
-from quillon.llm.word_cache import WordCache
+from quillon.llm.common import LOWER, WHITE, batch_bytes, lean, shared_dir, shuffle_partitions, text_slices
+from quillon.llm.word_cache import WordCache, little
 
 SCHEMA = "part int, doc_id long, n_tokens long, part_start long, ids array<int>"
 
@@ -39,6 +41,42 @@ _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
+#: ASCII bytes in lower case, blanks as spaces.
+SMALL = LOWER.copy()
+SMALL[WHITE] = 32
+#: Kinds of bytes: 0 blank, 1 ASCII letter, 2 other ASCII, 3 ASCII digit, 4 beyond ASCII.
+KIND = np.full(256, 2, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]], KIND[48:58], KIND[128:], KIND[WHITE] = 1, 3, 4, 0
+#: Whether a new word starts at a byte of the second kind after one of the first.
+STARTS = np.zeros((5, 5), bool)
+STARTS[1:, 0] = True  # the first of some blanks
+for _a, _b in ((1, 2), (1, 3), (2, 3), (3, 4)):
+    STARTS[_a, _b] = STARTS[_b, _a] = True
+
+
+def cuts(data: np.ndarray, off: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Bounds of words: at document bounds, in front of blanks, and where ASCII letters, digits and marks meet.
+
+    An apostrophe stays with its neighbours, for a contraction is a word of its own; where a
+    special token occurs, only blanks cut.
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    kind = KIND[data]
+    table = STARTS
+    raw = data.tobytes() if any(special) else b""
+    if any(x in raw for x in special):
+        table = np.zeros_like(STARTS)
+        table[1:, 0] = True
+    cut[1:-1] = table[kind[:-1], kind[1:]]
+    mark = np.flatnonzero(data == 39)
+    glued = np.concatenate([mark, mark + 1])
+    glued = glued[(glued > 0) & (glued < len(data))]
+    cut[glued[kind[glued] > 0]] = False
+    cut[off] = True
+    cut[[0, -1]] = True
+    return np.flatnonzero(cut)
+
+
 class WordEncoder:
     """Ids of whole texts by a cache of words; equals encode() of the text as one string.
 
@@ -54,32 +92,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.words = WordCache(self._word)
-        self.split = blanks_split(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.split = blanks_split(spec)
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
 
     def _new(self, word: str) -> bytes:
         if word.isalpha() and word.lower() == word and is_normalized("NFC", word):
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<i4").tobytes()
+            return little([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))])
+        return little(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         """A word of letters and a tail of ASCII marks is encoded as its two parts."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return little([t.id for t in self.model.tokenize(word)])
         if not word:
             return b""
         core = word.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
         low = core.lower()
         if core.isalpha() and low.isalpha() and "\u03a3" not in core:  # capital sigma lower-cases by its place
-            return self._new(low) if low == word else self.words.value(low) + self.words.value(word[len(core) :])
+            return self._new(low) if low == word else self.words.young[low] + self.words.young[word[len(core) :]]
         return self._new(word)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many ids each text has."""
+        texts = texts.fill_null("")
         if not self.split:
-            return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        get = self.words.table(set().union(*split)).__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], "<i4"), np.array([len(x) for x in ids], np.int64)
+        data, off = batch_bytes(texts)
+        at = cuts(data, off, self.special)
+        words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(SMALL[data])).dictionary_encode()  # each different word is looked up once
+        which = words.indices.to_numpy()
+        known = list(map(self.words.table().__getitem__, pc.ascii_ltrim(words.dictionary, " ").to_pylist()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, start = np.frombuffer(b"".join(known), "<i4"), np.cumsum(size) - size
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        ids = flat[np.arange(int(sizes.sum())) + np.repeat(start[which] - (ends - sizes), sizes)]
+        before = np.concatenate([[0], ends])
+        return ids, np.diff(before[np.searchsorted(at, off)])
 
 
 def blanks_split(spec: dict) -> bool:
@@ -104,6 +155,14 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def by_range(docs: DataFrame, parts: int) -> DataFrame:
+    """docs in parts of ascending doc_id, nulls first.  The bounds come from a pass over doc_id alone, not over the texts."""
+    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    bounds = sorted(set(bounds or []))
+    at = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in bounds)), lambda x: x < F.col("doc_id").cast("long"))) if bounds else F.lit(0)
+    return docs.repartitionById(len(bounds) + 1, F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int"))
+
+
 def encode_to_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, page_rows: int = 2000) -> str:
     """Write the token ids of docs (doc_id, text) under path, in ascending doc_id order over the files."""
 
@@ -111,16 +170,21 @@ def encode_to_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         from pyspark import TaskContext
 
         words, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            for b in text_slices(batch, 1):
-                parts = [ids + end for ids in words.encode([t or "" for t in b.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in parts], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            for b in text_slices(batch, 1, 4 << 20):
+                values, n = words.encode(b.column(1))
+                if end_id is not None:  # one place more behind each document
+                    n = n + 1
+                    more = np.full(int(n.sum()), end_id, np.int32)
+                    inner = np.ones(len(more), bool)
+                    inner[np.cumsum(n) - 1] = False
+                    more[inner] = values
+                    values = more
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0).cast(pa.int64()), pa.array(n), pa.array(start + np.cumsum(n) - n), ids], ["part", "doc_id", "n_tokens", "part_start", "ids"])
                 start += int(n.sum())
 
-    rows = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = by_range(docs.select("doc_id", "text"), shuffle_partitions(docs.sparkSession)).sortWithinPartitions("doc_id", "text")
     writer = rows.mapInArrow(lean(run), SCHEMA).write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
     for column in ("doc_id", "n_tokens", "part_start"):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")

@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Callable
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    out = array("i", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+LONGEST = 64  # characters of a word that is kept
+
+
+class Generation(dict):
+    """word -> bytes; a word that is missing is looked up in the generation before, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], before: dict[str, bytes]):
+        super().__init__()
+        self.make, self.before = make, before
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.before.get(word)
+        value = self.make(word) if value is None else value
+        if len(word) <= LONGEST:
+            self[word] = value
+        return value
+
+
 class WordCache:
     """word -> bytes, in two generations: words met again move to the young one, and when that is full the old one goes.
 
-    A generation has `most` words (some 200 bytes each) and what one call adds; a word of more
-    than `longest` characters is forgotten after the call.
+    A generation has `most` words (some 200 bytes each) and what the texts between two calls of
+    table() add.
     """
 
-    def __init__(self, make: Callable[[str], bytes], most: int = 500_000, longest: int = 64):
-        self.make, self.most, self.longest = make, most, longest
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
-
-    def value(self, word: str) -> bytes:
-        value = self.young.get(word)
-        if value is None:
-            value = self.old.get(word)
-            value = self.young[word] = self.make(word) if value is None else value
-            if len(word) > self.longest:
-                self.long.append(word)
-        return value
+    def __init__(self, make: Callable[[str], bytes], most: int = 600_000):
+        self.make, self.most = make, most
+        self.young = Generation(make, {})
 
-    def table(self, words: set[str]) -> dict[str, bytes]:
-        """A table that has the values of all the words, good until the next call."""
-        for w in self.long:
-            self.young.pop(w, None)
-        self.long = []
+    def table(self) -> Generation:
+        """A table that has the value of any word, good until the next call."""
         if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        for w in words.difference(self.young):
-            self.value(w)
+            self.young.before = {}
+            self.young = Generation(self.make, self.young)
         return self.young
