@@ -49,6 +49,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows and some 8 MB at most, which bounds what a task holds of texts on either side.
+
+    This sets the session, since a DataFrame cannot carry it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def trim() -> None:
     """Give memory that the allocators of this worker hold but do not use back to the machine."""
     pa.default_memory_pool().release_unused()

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import WHITE, Chunk, chunks, combine, doc_of, lean, mix
+from quillon.llm.common import WHITE, Chunk, chunks, combine, doc_of, lean, mix, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = [
@@ -92,6 +92,7 @@ def statistics(c: Chunk, window: int = 8) -> dict[str, np.ndarray]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS for every row of docs (doc_id, text); null text counts as empty."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

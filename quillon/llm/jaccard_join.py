@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Chunk, chunks, combine, discard, lean, lean_group, materialize, mix, shuffle_partitions
+from quillon.llm.common import LOWER, Chunk, chunks, combine, discard, lean, lean_group, materialize, mix, shuffle_partitions, small_batches
 from quillon.llm.components import attach_least, connected_components
 
 HOT = 63
@@ -91,7 +91,7 @@ def rank_of(token: np.ndarray, bucket, holders: np.ndarray) -> np.ndarray:
 SENT = "bucket int, node binary, count binary, token binary, mark binary"
 
 
-def _sent_items(k: int, num: int, den: int, buckets: int, flush: int = 1_500_000):
+def _sent_items(k: int, num: int, den: int, buckets: int, flush: int = 600_000):
     """mapInArrow of (doc_id, text): rows of SENT.
 
     Buckets from 0 on: runs (node, count) of tokens, and tokens marked as held often.  Below 0:
@@ -346,6 +346,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     class_id names the set (null for the empty one); n_links counts the other classes that
     the row's class links with; component_id is the smallest doc_id reachable.
     """
+    small_batches(docs.sparkSession)
     parts = 4 * shuffle_partitions(docs.sparkSession)
     rows, clusters, used = _clusters(docs, k, num, den)
     first = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

@@ -43,8 +43,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import lean, text_slices
-from quillon.llm.word_cache import WordCache
+from quillon.llm.common import batch_bytes, lean, small_batches, text_slices
+from quillon.llm.word_cache import WordCache, little
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -219,11 +219,21 @@ class Transducer:
             (self.frozen if self.bpe and pieces[i][2] == USER else self.pieces).add(t, i)
         self.inside = {t[i : i + 2] for t in self.arc for i in range(len(t) - 1)}
         self.plain = [t.replace(SPACE, " ") for t in self.text]
-        # texts fall into words where no piece holds a blank but in front
-        self.by_word = self.normal.identity and self.normal.prefix and not user and not any(SPACE in t.lstrip(SPACE) for t in self.arc)
+        # forced states between two bytes of a text that is only prefixed: ASCII characters that are neighbours in no piece
+        self.vectors = self.normal.identity and self.normal.prefix and not user
+        self.forced = np.zeros((256, 256), bool)
+        if self.vectors:
+            self.forced[:128, :128] = True
+            for pair in self.inside:
+                a, b = (ord(ch) if ch != SPACE else 32 for ch in pair)
+                if a < 128 and b < 128:
+                    self.forced[a, b] = False
+            if not any(SPACE in t.lstrip(SPACE) for t in self.arc):  # in front of a blank, unless after U+2581, which ends in 0x81
+                self.forced[128:, 32] = True
+                self.forced[0x81, 32] = False
         self.junctions: dict[tuple[int, int], float] = {}
-        self.words = WordCache(lambda w: self._bytes(SPACE + w))
-        self.parts = WordCache(lambda part: np.array(self._shortest(part), "<i4").tobytes(), most=100_000, longest=40)
+        self.words = WordCache(lambda w: self._bytes(w.replace(" ", SPACE)), most=400_000)
+        self.parts = WordCache(lambda part: little(self._shortest(part)), most=100_000)
 
     def _merge(self, chars: str) -> list[str]:
         """BPE of a short string: the best-scored neighbour pair first, the leftmost of equals."""
@@ -295,7 +305,7 @@ class Transducer:
         inside = self.inside
         cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside), len(text)]
         parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        get = self.parts.table(set(parts)).__getitem__
+        get = self.parts.table().__getitem__
         return b"".join(map(get, parts))
 
     def _ids(self, text: str) -> bytes:
@@ -307,7 +317,7 @@ class Transducer:
             while at < len(text):
                 end, piece = self.frozen.longest(text, at)
                 if piece is not None:
-                    out += self._bytes(text[first:at]) + np.array([piece], "<i4").tobytes()
+                    out += self._bytes(text[first:at]) + little([piece])
                     first = at = end
                 else:
                     at += 1
@@ -317,14 +327,27 @@ class Transducer:
             out = ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])].tobytes() if len(ids) else out
         return out
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit bytes; words new to the worker are walked first."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            words = t.split(" ") if t and self.by_word and SPACE not in t else None
-            split.append(words if words is None or "" not in words else None)
-        get = self.words.table(set().union(*(s for s in split if s))).__getitem__
-        return [self._ids(self.normal(t)) if t and s is None else b"".join(map(get, s or ())) for t, s in zip(texts, split, strict=True)]
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many ids each text has; words new to the worker are walked first."""
+        data, off = batch_bytes(texts)
+        if not self.vectors:
+            ids = [self._ids(self.normal(t)) if t else b"" for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], np.int64)
+        full = np.diff(off) > 0  # the prefix is one more blank in front
+        data = np.insert(data, off[:-1][full], 32)
+        off = off + np.concatenate([[0], np.cumsum(full)])
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = self.forced[data[:-1], data[1:]]
+        cut[off] = True
+        ids, counts = self.words.spread(data, np.flatnonzero(cut), off)
+        if not self.byte:  # unknown characters of neighbouring words are one
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            first = (np.cumsum(counts) - counts)[counts > 0]
+            again[first] = False
+            counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[again], minlength=len(counts))
+            ids = ids[~again]
+        return ids, counts
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self._ids(self.normal(text)), "<i4").tolist() if text else []
@@ -346,14 +369,14 @@ def transducer(path: str) -> Transducer:
 
 def sentencepiece_ids(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens and ids for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         fst = transducer(model)
         for b in batches:
             for part in text_slices(b, 1):
-                ids = fst.encode_all(part.column(1).to_pylist())
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                ids, n = fst.encode_all(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>")
@@ -364,6 +387,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str) -> DataFrame:
 
     round_trip: whether decoding the ids gives the text back (null text: the empty one).
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         fst = transducer(model)
@@ -371,11 +395,12 @@ def sentencepiece_round_trip(docs: DataFrame, model: str) -> DataFrame:
         byte[list(fst.byte_of)] = True
         for batch in batches:
             for b in text_slices(batch, 1):
-                texts, rows = b.column(1).to_pylist(), []
-                for text, data in zip(texts, fst.encode_all(texts), strict=True):
-                    array = np.frombuffer(data, "<u4")
-                    rows.append((len(array), int(byte[array].sum()), zlib.crc32(data), fst.decode(array.tolist()) == (text or "")))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
+                ids, n = fst.encode_all(b.column(1))
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                n_byte = np.diff(np.concatenate([[0], np.cumsum(byte[ids])])[bounds])
+                raw, every, at = memoryview(ids.astype("<u4").tobytes()), ids.tolist(), bounds.tolist()
+                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at, at[1:], strict=False)]
+                same = [fst.decode(every[a:z]) == (t or "") for a, z, t in zip(at, at[1:], b.column(1).to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(n_byte.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")

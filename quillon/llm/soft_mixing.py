@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Chunk, chunks, lean, materialize
+from quillon.llm.common import LOWER, Chunk, chunks, lean, materialize, small_batches
 
 BITS = 14
 
@@ -149,6 +149,7 @@ def fit_mixture(docs: DataFrame, domain: str = "lang", targets: dict | None = No
     keep_all: the total grows until no domain needs fewer tokens than it has, and every rate
     is 1 at least; else the total stays.
     """
+    small_batches(docs.sparkSession)
     model = fit_classifier(docs, domain, max_training, max_domains, softness)
 
     def run(batches):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Chunk, batch_bytes, chunks, discard, lean, lean_group, materialize, mix, shuffle_partitions
+from quillon.llm.common import Chunk, batch_bytes, chunks, discard, lean, lean_group, materialize, mix, shuffle_partitions, small_batches
 
 GRAM = 64
 RUN = np.dtype([("least", "<u8"), ("content", "<u8"), ("text", "<i8"), ("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("inner", "<u4")])
@@ -83,7 +83,7 @@ def runs_of(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return run, lo, hi, doc[lo], inner
 
 
-def _run_blobs(size: int, buckets: int, flush: int = 1_000_000):
+def _run_blobs(size: int, buckets: int, flush: int = 300_000):
     """mapInArrow of (doc_id, text, hash): rows (bucket, blob of RUN)."""
 
     def run(batches):
@@ -364,6 +364,7 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 200, keep: str = "first
     """
     if min_bytes < GRAM:
         raise ValueError(f"min_bytes must be {GRAM} at least")
+    small_batches(docs.sparkSession)
     parts = 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     blobs = rows.mapInArrow(lean(_run_blobs(min_bytes, parts)), "bucket int, blob binary")

@@ -25,12 +25,11 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, WHITE, batch_bytes, lean, shared_dir, shuffle_partitions, text_slices
+from quillon.llm.common import LOWER, WHITE, batch_bytes, lean, shared_dir, shuffle_partitions, small_batches, text_slices
 from quillon.llm.word_cache import WordCache, little
 
 SCHEMA = "part int, doc_id long, n_tokens long, part_start long, ids array<int>"
@@ -120,17 +119,7 @@ class WordEncoder:
             ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in ids for i in x], "<i4"), np.array([len(x) for x in ids], np.int64)
         data, off = batch_bytes(texts)
-        at = cuts(data, off, self.special)
-        words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(SMALL[data])).dictionary_encode()  # each different word is looked up once
-        which = words.indices.to_numpy()
-        known = list(map(self.words.table().__getitem__, pc.ascii_ltrim(words.dictionary, " ").to_pylist()))
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, start = np.frombuffer(b"".join(known), "<i4"), np.cumsum(size) - size
-        sizes = size[which]
-        ends = np.cumsum(sizes)
-        ids = flat[np.arange(int(sizes.sum())) + np.repeat(start[which] - (ends - sizes), sizes)]
-        before = np.concatenate([[0], ends])
-        return ids, np.diff(before[np.searchsorted(at, off)])
+        return self.words.spread(SMALL[data], cuts(data, off, self.special), off, trim=" ")
 
 
 def blanks_split(spec: dict) -> bool:
@@ -165,6 +154,7 @@ def by_range(docs: DataFrame, parts: int) -> DataFrame:
 
 def encode_to_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, page_rows: int = 2000) -> str:
     """Write the token ids of docs (doc_id, text) under path, in ascending doc_id order over the files."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
@@ -205,6 +195,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def token_digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as little-endian 32-bit integers."""
+    small_batches(tokens.sparkSession)
 
     def run(batches):
         for b in batches:

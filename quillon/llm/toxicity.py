@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Chunk, chunks, lean, materialize
+from quillon.llm.common import Chunk, chunks, lean, materialize, small_batches
 from quillon.llm.quality_classifier import held_out
 
 # Words that mark quotation or report, and words of address.
@@ -259,7 +259,7 @@ def count_terms(sample: DataFrame, longest: int = 20) -> DataFrame:
                 terms = {(w, True) for w in words} | {(w[:k], False) for w in words for k in range(4, min(len(w), longest) + 1)}
                 for t in terms:
                     seen.setdefault(t, [0, 0])[label] += 1
-            if len(seen) > 500_000:
+            if len(seen) > 150_000:
                 yield flush(seen)
                 seen = {}
         yield flush(seen)
@@ -310,6 +310,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remain
 
     labels: doc_id, toxic.  remainder None: no rows are held out.
     """
+    small_batches(docs.sparkSession)
     out_of_training = held_out(modulus, -1 if remainder is None else remainder)
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~out_of_training).select("doc_id", F.col("toxic").cast("int").alias("label"))
     sample = materialize(docs.select("doc_id", "text").join(bounded_sample(known, max_training), "doc_id").select("text", "label"))

@@ -6,6 +6,10 @@ import sys
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 
 def little(ids: list[int]) -> bytes:
     """Ids as little-endian 32-bit integers."""
@@ -50,3 +54,20 @@ class WordCache:
             self.young.before = {}
             self.young = Generation(self.make, self.young)
         return self.young
+
+    def spread(self, data: np.ndarray, at: np.ndarray, off: np.ndarray, trim: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words that the bounds at cut data into, in a row, and how many each text (bounds off) has.
+
+        Each different word is looked up once; trim: characters that words lose in front.
+        """
+        words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        which = words.indices.to_numpy()
+        names = pc.ascii_ltrim(words.dictionary, trim) if trim else words.dictionary
+        known = list(map(self.table().__getitem__, names.to_pylist()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, start = np.frombuffer(b"".join(known), "<i4"), np.cumsum(size) - size
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        ids = flat[np.arange(int(sizes.sum())) + np.repeat(start[which] - (ends - sizes), sizes)]
+        before = np.concatenate([[0], ends])
+        return ids, np.diff(before[np.searchsorted(at, off)])

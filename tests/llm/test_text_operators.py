@@ -7,16 +7,18 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from quillon.llm.common import Chunk
 from quillon.llm.jaccard_join import ngram_jaccard_join, overlaps
 from quillon.llm.quality_classifier import quality_scores
-from quillon.llm.quality_rules import GRID, RULES, quality_rules, select_cutoffs, upper_bound
+from quillon.llm.quality_rules import BANDS, GRID, RULES, quality_rules, select_cutoffs, upper_bound
 from quillon.llm.sentencepiece_fst import Transducer, sentencepiece_round_trip
 from quillon.llm.soft_mixing import fit_mixture, mix_documents, soft_mixing_rates
 from quillon.llm.suffix_dedup import longest_previous_factor, suffix_array_dedup
-from quillon.llm.token_parquet import encode_to_parquet, new_path, read_tokens, token_digests
+from quillon.llm.token_parquet import WordEncoder, encode_to_parquet, new_path, read_tokens, token_digests
 from quillon.llm.toxicity import Automaton, toxicity_scores
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -107,6 +109,40 @@ def test_binomial_bound_and_cutoffs():
     assert not [k for k in cuts if k[0] == 1]  # three labels prove nothing
 
 
+def test_quality_rules_with_cutoffs(spark):
+    """Cutoffs and verdicts against counts taken row by row, with labels enough to prove some cutoffs."""
+    rng = random.Random(12)
+    data = []
+    for i in range(3000):
+        w = [rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(50)) for _ in range(rng.choice([30, 150]))]
+        if i % 10 == 0:
+            w[5:20] = ["BUY!!"] * 15
+        elif i % 31 == 0:
+            w[0] = "Wow!"
+        data.append((i, " ".join(w)))
+    labels = [(i, 0 if i % 10 == 0 else 1 if i % 7 else None) for i in range(2800)]
+    docs, table = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_rules(docs, table, 0.3, 0.1).collect()}
+    good = {i for i, q in labels if q == 1}
+    stratum = lambda r: sum(r.n_words >= x for x in BANDS)
+    share = lambda r, rule: r[RULES[rule][0]] / max(1, r[RULES[rule][1]])
+    counts = {}
+    for s in {stratum(out[i]) for i in good if not out[i].base_failed}:
+        rows = [out[i] for i in good if stratum(out[i]) == s and not out[i].base_failed]
+        counts[s] = {"n": len(rows)} | {(rule, i): sum(share(r, rule) > g for r in rows) for rule in RULES for i, g in enumerate(GRID)}
+    cuts = select_cutoffs(counts, 0.3, 0.1)
+    assert len(cuts) > 6
+    for r in out.values():
+        assert r.kept == (not r.base_failed and not any(share(r, rule) > cut for (s, rule), cut in cuts.items() if s == stratum(r)))
+    assert sum(not r.kept for i, r in out.items() if i % 10 == 0) > 250
+
+
+def test_quality_rules_empty(spark, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules(empty, none).count() == 0
+    assert quality_rules(spark.createDataFrame([(1, None)], "doc_id long, text string"), none).first().kept is False
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = random.Random(1)
     good = [(i, " ".join(rng.choice(["word", "other", "thing", "the"]) for _ in range(60)), 1) for i in range(1000, 1200)]
@@ -320,6 +356,22 @@ def test_token_parquet(spark, docs, empty):
     assert read_tokens(spark, encode_to_parquet(empty, new_path(spark), path)).count() == 0
 
 
+def test_words_of_the_token_cache_are_exact():
+    """Texts cut into words, of all kinds of marks and letters, against the library on whole texts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = WordEncoder(path), Tokenizer.from_file(path)
+    rng = random.Random(17)
+    bits = ["a", "the", "Nter", "don't", "we'll", "'s", "'", "é", "École", "1", "23", ".", ",", "...", "—", "…", "!?", " ", "  ", "\n", "\t", "\x0b", "\xa0", "<|endoftext|>", "<|", "\u0301", "ß", "İ", "ΣΑΣ", "中文", "😀", "²", "\x00", "K"]
+    for n in (1, 3, 8, 30):
+        for special in (False, True):
+            samples = ["".join(x for x in (rng.choice(bits) for _ in range(rng.randint(0, n))) if special or "endof" not in x) for _ in range(400)]
+            ids, counts = encoder.encode(pa.array([None, *samples, ""]))
+            want = [library.encode(t, add_special_tokens=False).ids for t in ["", *samples, ""]]
+            assert counts.tolist() == [len(x) for x in want]
+            for t, got, x in zip(["", *samples, ""], np.split(ids, np.cumsum(counts)[:-1]), want, strict=True):
+                assert got.tolist() == x, t
+
+
 def test_token_file_format(spark, docs, tmp_path):
     import glob
 
@@ -348,6 +400,10 @@ def test_sentencepiece_is_exact():
         ids = fst.encode(s)
         assert ids == library.encode(s), s
         assert fst.decode(ids) == s
+    samples += ["a\u2581 b", "\u2581", " \u2581\u2581 c", "x\n\n y"]
+    ids, counts = fst.encode_all(pa.array([None, *samples]))
+    for s, part in zip(["", *samples], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert part.tolist() == library.encode(s), s
 
 
 def _field(number: int, value) -> bytes:
@@ -395,7 +451,8 @@ def test_sentencepiece_made_models(tmp_path, bpe, fallback, spec):
     for _ in range(1500):
         s = "".join(rng.choice(["a", "b", "c", "d", "e", " ", "  ", "USR", "a b", "x", "é", "\uff21", "\u2460", "\ufb01", "\u3000", "\n"]) for _ in range(rng.randint(0, 14)))
         assert fst.encode(s) == library.encode(s), s
-        assert np.frombuffer(fst.encode_all([s])[0], "<i4").tolist() == fst.encode(s)
+        ids, counts = fst.encode_all(pa.array([s, None, s]))
+        assert ids.tolist() == 2 * fst.encode(s) and counts[1] == 0
 
 
 def test_sentencepiece_table(docs, empty):
