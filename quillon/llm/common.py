@@ -77,7 +77,7 @@ def lean(run: Callable) -> Callable:
     return out
 
 
-def lean_group(run: Callable, nbytes: int = 4 << 20) -> Callable:
+def lean_group(run: Callable, nbytes: int = 1 << 18) -> Callable:
     """An applyInArrow function that trims the worker's memory after each large group."""
 
     def out(key, t):

@@ -204,9 +204,9 @@ def _fetch(size: int, cells: int, keep: str):
                         seen[h] = first
                         if len(settled) > 1_000_000:
                             settled.clear()
-                    for h, place in seen.items() if len(seen) > 200_000 else ():
+                    for h, place in seen.items() if len(seen) > 100_000 else ():
                         rows.append((h % cells, h, place[2], place[0], place[1], b"", False))
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
             yield batch(rows)
         yield batch([(h % cells, h, p[2], p[0], p[1], b"", False) for h, p in seen.items()])
@@ -262,7 +262,7 @@ def repeats(pieces: list[bytes], group: np.ndarray, rank: np.ndarray, size: int,
     twice[order[:-1][same]] = True
     pick = np.flatnonzero(twice)  # suffixes with a partner; no other can have a factor of size bytes
     hit = np.zeros(len(key), bool)
-    step = max(1, (64 << 20) // size)  # strings a slice of the suffix order, whole equal keys together
+    step = max(1, (8 << 20) // size)  # strings a slice of the suffix order, whole equal keys together
     pick = pick[np.argsort(key[pick], kind="stable")]
     while len(pick):
         stop = min(step, len(pick))
