@@ -8,18 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Seconds of the width units.
+# The spellings of the width units, and their seconds.
+UNITS = {
+    "s": ("s", "sec", "secs", "second", "seconds"),
+    "m": ("m", "min", "mins", "minute", "minutes"),
+    "h": ("h", "hr", "hrs", "hour", "hours"),
+    "d": ("d", "day", "days"),
+    "w": ("w", "week", "weeks"),
+    "mon": ("mon", "mons", "month", "months"),
+    "y": ("y", "yr", "yrs", "year", "years"),
+}
 SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
+def width_parts(width: str) -> tuple[int, str]:
+    """The number and the unit of a width in any spelling."""
+    m = re.fullmatch(r"\s*(\d+)\s*([a-z]+)\s*", width.lower())
+    unit = next((u for u, names in UNITS.items() if m and m[2] in names), None)
+    if unit is None or int(m[1]) == 0:
+        raise ValueError(f"no bucket width: {width!r}")
+    return int(m[1]), unit
+
+
 def width_seconds(width: str | int) -> int:
-    """'10s', '5m', '1h', '1d', '2w' or a number of seconds."""
+    """'10s', '5 mins', '1hour', '1d', '2w' or a number of seconds; widths in months have none."""
     if isinstance(width, int):
         return width
-    m = re.fullmatch(r"\s*(\d+)\s*([smhdw])\s*", width)
-    if not m or int(m[1]) == 0:
-        raise ValueError(f"no bucket width: {width!r}")
-    return int(m[1]) * SECONDS[m[2]]
+    n, unit = width_parts(width)
+    if unit not in SECONDS:
+        raise ValueError(f"no width in seconds: {width!r}")
+    return n * SECONDS[unit]
+
+
+def width_months(width: str | int) -> int:
+    """Months of a width in months or years, 0 for any other."""
+    n, unit = (0, "") if isinstance(width, int) else width_parts(width)
+    return n * {"mon": 1, "y": 12}.get(unit, 0)
 
 
 def time_bucket(ts: Column | str, width: str | int) -> Column:
@@ -28,23 +52,23 @@ def time_bucket(ts: Column | str, width: str | int) -> Column:
     Widths in months or years ('3mon', '1y') count from January 1900.
     """
     ts = F.col(ts) if isinstance(ts, str) else ts
-    if isinstance(width, str) and (m := re.fullmatch(r"\s*(\d+)\s*(mon|y)\s*", width)):
-        n = int(m[1]) * (12 if m[2] == "y" else 1)
+    if n := width_months(width):
         months = (F.year(ts) - 1900) * 12 + F.month(ts) - 1
         start = F.floor(months / F.lit(n)) * n
         return F.make_timestamp_ntz((1900 + F.floor(start / 12)).cast("int"), (start % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    w = width_seconds(width)
+    w = F.lit(width_seconds(width) * 1_000_000).cast("long")
     local = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
-    return F.timestamp_add("MICROSECOND", F.floor(local / F.lit(w * 1_000_000)) * (w * 1_000_000), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", local - F.pmod(local, w), F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
 def gap_fill(buckets: DataFrame, bucket: str, width: str | int, keys: list[str]) -> DataFrame:
     """All buckets from the first to the last of each key; new rows have nulls.
 
     buckets: one row a key and bucket.  Each row repeats up to the next row's bucket, so
-    no second scan or join is needed.
+    no second scan or join is needed.  Widths in months or years step by calendar months.
     """
-    step = F.expr(f"interval {width_seconds(width)} seconds")
+    months = width_months(width)
+    step = F.expr(f"interval {months} months" if months else f"interval {width_seconds(width)} seconds")
     nxt = F.lead(bucket).over(W.partitionBy(*keys).orderBy(bucket))
     filled = buckets.withColumn("_own", F.col(bucket)).withColumn("_next", nxt)
     filled = filled.withColumn(bucket, F.explode(F.when(F.col("_next").isNull(), F.array(bucket)).otherwise(F.sequence(F.col(bucket), F.col("_next") - step, step))))
@@ -53,9 +77,12 @@ def gap_fill(buckets: DataFrame, bucket: str, width: str | int, keys: list[str])
 
 
 def interpolate(df: DataFrame, value: str, mode: str, bucket: str, keys: list[str], constant: float | None = None) -> Column:
-    """Value of a gap: null, prev, next, linear or constant."""
-    w = W.partitionBy(*keys).orderBy(bucket)
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    """Value of a gap: null, prev, next, linear or constant.
+
+    The next value is the last one before in descending order, so that frames only grow.
+    """
+    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(*keys).orderBy(F.desc(bucket)).rowsBetween(W.unboundedPreceding, 0)
     x = F.col(value)
     if mode == "null":
         return x
@@ -64,11 +91,11 @@ def interpolate(df: DataFrame, value: str, mode: str, bucket: str, keys: list[st
     if mode == "prev":
         return F.last(x, ignorenulls=True).over(before)
     if mode == "next":
-        return F.first(x, ignorenulls=True).over(after)
+        return F.last(x, ignorenulls=True).over(after)
     if mode != "linear":
         raise ValueError(f"no interpolation mode: {mode!r}")
     at = F.when(x.isNotNull(), F.struct(F.col(bucket).alias("t"), x.alias("x")))
-    p, n = F.last(at, ignorenulls=True).over(before), F.first(at, ignorenulls=True).over(after)
+    p, n = F.last(at, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(after)
     span = F.timestamp_diff("MICROSECOND", p["t"], n["t"])
     share = F.timestamp_diff("MICROSECOND", p["t"], F.col(bucket)) / span
     return F.when(x.isNotNull(), x).otherwise(p["x"] + (n["x"] - p["x"]) * share)

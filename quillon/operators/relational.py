@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.storage import scratch
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -16,10 +18,14 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def with_ordinality(df: DataFrame, order: list[str], name: str = "ordinality") -> DataFrame:
     """Row numbers from 1 in the given total order, without sorting all rows in one task.
 
-    Rows are range-partitioned by the order; counts of whole partitions, one row each, give
-    each partition its first number.
+    Rows are range-partitioned by the order and written once with the number of their
+    partition, since a range partitioning that is planned twice may cut at other bounds.
+    Counts of partitions, one row each, then give each partition its first number.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    spark = df.sparkSession
+    path = scratch(spark)
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
     local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(counts), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_c", "_before")

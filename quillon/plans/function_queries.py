@@ -29,7 +29,7 @@ sql_query(
     "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS DOUBLE) AS y, CAST(extract(QUARTER FROM o_orderdate) AS DOUBLE) AS q, CAST(extract(MONTH FROM o_orderdate) AS DOUBLE) AS m, CAST(extract(WEEK FROM o_orderdate) AS DOUBLE) AS w, CAST(extract(DAY FROM o_orderdate) AS DOUBLE) AS d, CAST(extract(DOY FROM o_orderdate) AS DOUBLE) AS doy, CAST(dayofweek(o_orderdate) - 1 AS DOUBLE) AS dow FROM orders",
     "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS DOUBLE) AS y, CAST(extract(QUARTER FROM o_orderdate) AS DOUBLE) AS q, CAST(extract(MONTH FROM o_orderdate) AS DOUBLE) AS m, CAST(extract(WEEK FROM o_orderdate) AS DOUBLE) AS w, CAST(extract(DAY FROM o_orderdate) AS DOUBLE) AS d, CAST(extract(DOY FROM o_orderdate) AS DOUBLE) AS doy, CAST(extract(DOW FROM o_orderdate) AS DOUBLE) AS dow FROM orders",
 )
-sql_query("interval_arithmetic", "SELECT event_id, ts + INTERVAL '90' MINUTE AS a, ts - INTERVAL '2' DAY AS b, o.d AS days FROM (SELECT event_id, ts FROM events WHERE event_id < 200) JOIN (SELECT o_orderkey AS k, datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders) o ON event_id = k", "SELECT event_id, ts + INTERVAL '90' MINUTE AS a, ts - INTERVAL '2' DAY AS b, o.d AS days FROM (SELECT event_id, ts FROM events WHERE event_id < 200) JOIN (SELECT o_orderkey AS k, CAST(DATE '2000-01-01' - CAST(o_orderdate AS DATE) AS INTEGER) AS d FROM orders) o ON event_id = k")
+sql_query("interval_arithmetic", "SELECT event_id, ts + INTERVAL '90' MINUTE AS a, ts - INTERVAL '2' DAY AS b, o.d AS days FROM (SELECT event_id, ts FROM events) JOIN (SELECT o_orderkey AS k, datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders) o ON event_id = k", "SELECT event_id, ts + INTERVAL '90' MINUTE AS a, ts - INTERVAL '2' DAY AS b, o.d AS days FROM (SELECT event_id, ts FROM events) JOIN (SELECT o_orderkey AS k, CAST(DATE '2000-01-01' - CAST(o_orderdate AS DATE) AS INTEGER) AS d FROM orders) o ON event_id = k")
 sql_query("epoch_conversions", "SELECT event_id, timestamp_seconds(1700000000 + event_id) AS t, unix_micros(CAST(ts AS TIMESTAMP)) AS us FROM events", "SELECT event_id, make_timestamp((1700000000 + event_id) * 1000000) AS t, epoch_us(ts) AS us FROM events")
 sql_query("at_time_zone", "SELECT event_id, convert_timezone('UTC', 'Asia/Shanghai', ts) AS local FROM events", "SELECT event_id, ts + INTERVAL '8 hours' AS local FROM events")
 sql_query("array_functions", "SELECT n_nationkey, cardinality(array(n_nationkey, n_regionkey, 7)) AS n, array_contains(array(1, 2, 3), n_regionkey) AS has, element_at(array(10, 20, 30, 40, 50), n_regionkey + 1) AS item, try_element_at(array(1, 2), n_regionkey + 1) AS maybe, array_append(array(1), n_regionkey) AS app, concat(array(1, 2), array(n_regionkey)) AS cat, array_join(array('a', n_name), '-') AS j, array_remove(array(1, 2, 1), 1) AS rem FROM nation", "SELECT n_nationkey, len([n_nationkey, n_regionkey, 7]) AS n, list_contains([1, 2, 3], n_regionkey) AS has, [10, 20, 30, 40, 50][n_regionkey + 1] AS item, [1, 2][n_regionkey + 1] AS maybe, list_append([1], n_regionkey) AS app, [1, 2] || [n_regionkey] AS cat, 'a-' || n_name AS j, [2] AS rem FROM nation")
@@ -43,7 +43,7 @@ sql_query("uuid_shape", "SELECT count(*) AS n FROM nation WHERE uuid() RLIKE '^[
 sql_query("scalar_sql_udf_shape", "SELECT n_nationkey, aggregate(sequence(1, n_regionkey + 1), 1L, (a, x) -> a * x) AS f FROM nation", "SELECT n_nationkey, CAST(factorial(n_regionkey + 1) AS BIGINT) AS f FROM nation")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(round(l_orderkey / l_linenumber, 6) AS DOUBLE) AS d, CAST(trunc(-l_quantity / l_linenumber) AS BIGINT) AS t FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, CAST(round(l_orderkey / l_linenumber, 6) AS DOUBLE) AS d, CAST(trunc(-l_quantity / l_linenumber) AS BIGINT) AS t FROM lineitem")
 def dialect_division(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(S.true_div(F.col("l_orderkey"), F.col("l_linenumber")), 6).cast("double").alias("d"), S.trunc_div(-F.col("l_quantity"), F.col("l_linenumber")).alias("t"))
 
@@ -96,7 +96,7 @@ def non_cryptographic_hashes(t):
     return t.nation.select("n_nationkey", S.fnv32(n).alias("fnv32"), S.fnv32a(n).alias("fnv32a"), S.fnv64(n).alias("fnv64"), S.fnv64a(n).alias("fnv64a"), S.crc32c(n).alias("crc32c"), F.crc32(n.cast("binary")).alias("crc32ieee"))
 
 
-@query("SELECT c_custkey, c_custkey % 256 < 128 AS inside FROM customer WHERE c_custkey < 500")
+@query("SELECT c_custkey, c_custkey % 256 < 128 AS inside FROM customer")
 def inet_contained(t):
     k = F.col("c_custkey")
     ip = F.concat(F.lit("10.0.0."), (k % 256).cast("string"))

@@ -44,9 +44,12 @@ def export_sql(df: DataFrame, table: str) -> DataFrame:
 
 
 def save_time_partitioned(df: DataFrame, path: str, ts: str, unit: str = "day") -> None:
-    """Parquet in directories by time, so that time spans prune files; the partition interval of a database."""
+    """Parquet in directories by time, so that time spans prune files; the partition interval of a database.
+
+    The rebalance hint lets the engine split a day that is too large for a task.
+    """
     part = F.date_trunc(unit, ts).cast("date")
-    df.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(path)
+    df.withColumn("_part", part).hint("rebalance", "_part").write.partitionBy("_part").parquet(path)
 
 
 def read_time_span(spark: SparkSession, path: str, ts: str, start: str, end: str, unit: str = "day") -> DataFrame:

@@ -183,3 +183,27 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream.start(spark, available_now=True).awaitTermination()
     counts = {r.window_start: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert counts[at(0)] == 1 and counts[at(7200)] == 1
+
+
+def test_ordinality_over_many_partitions(spark):
+    """Further columns and more rows than one partition takes: each row has its own number, in order."""
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("k"), F.col("id").alias("other"), F.lit("x").alias("more"))
+    out = R.with_ordinality(df.repartition(9), ["k"])
+    got = out.agg(F.count("*"), F.countDistinct("ordinality"), F.min("ordinality"), F.max("ordinality"), F.sum((F.col("ordinality") != F.col("k") + 1).cast("int"))).first()
+    assert tuple(got) == (60_000, 60_000, 1, 60_000, 0)
+
+
+def test_bucket_of_the_last_microsecond(spark):
+    ts = F.lit("2999-12-31 23:59:59.999999").cast("timestamp_ntz")
+    got = spark.range(1).select(B.time_bucket(ts, "1h").cast("string"), B.time_bucket(ts, "1 hour").cast("string"), B.time_bucket(ts, "2 months").cast("string")).first()
+    assert tuple(got) == ("2999-12-31 23:00:00", "2999-12-31 23:00:00", "2999-11-01 00:00:00")
+    assert B.width_seconds("1000000secs") == 1_000_000 and B.width_months("2years") == 24
+    with pytest.raises(ValueError):
+        B.width_seconds("3 fortnights")
+
+
+def test_gap_fill_by_months(spark):
+    rows = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ'2024-01-01' AS b, 1.0D AS x UNION ALL SELECT 1, TIMESTAMP_NTZ'2024-05-01', 5.0D")
+    filled = B.gap_fill(rows, "b", "1mon", ["k"])
+    got = [(str(r.b)[:10], r.x, r.n) for r in filled.withColumn("n", B.interpolate(filled, "x", "next", "b", ["k"])).orderBy("b").collect()]
+    assert got == [("2024-01-01", 1.0, 1.0), ("2024-02-01", None, 5.0), ("2024-03-01", None, 5.0), ("2024-04-01", None, 5.0), ("2024-05-01", 5.0, 5.0)]
