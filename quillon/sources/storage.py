@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,8 +14,10 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder where that is unset."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="quillon-"))
