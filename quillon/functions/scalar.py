@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import math
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,23 @@ def trunc_div(a: Column, b: Column) -> Column:
     return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q))
 
 
-def log(x: Column, base: Column | None = None) -> Column:
-    """Decimal logarithm, or log(x, base)."""
-    return F.log10(x) if base is None else F.ln(x) / F.ln(base)
+def log(x: Column, base: Column | float | None = None) -> Column:
+    """Decimal logarithm, or log(x, base). Spark's ln is off in the last place for some arguments, ln(3) among them, so that of a base given as a number is C's."""
+    if base is None:
+        return F.log10(x)
+    return F.ln(x) / (F.ln(base) if isinstance(base, Column) else F.lit(math.log(base)))
 
 
 def trunc(x: Column) -> Column:
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    """x without its fraction, as a double. The sign of zero, nan, infinities and doubles beyond a long stay."""
+    d = x.cast("double")
+    return F.when(F.abs(d) < float("inf"), F.signum(d) * F.abs((x - x % 1).cast("double"))).otherwise(d)
+
+
+def round_scaled(x: Column, places: int) -> Column:
+    """A double rounded as C does it, half away from zero on x * 10^places, with the sign of zero; Spark's round works on the decimal digits of x and loses that sign."""
+    scaled = x * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.signum(x) * F.abs(F.round(scaled, 0) / 10.0**places)).otherwise(x)
 
 
 def checked_sqrt(x: Column) -> Column:

@@ -51,7 +51,7 @@ def dialect_division(t):
 @query("SELECT event_id, round(log10(value + 1), 8) AS a, round(ln(value + 1) / ln(3), 8) AS b, trunc(50 - value) AS tr, round(cot(value), 6) AS c FROM events")
 def dialect_math(t):
     v = F.col("value")
-    return t.events.select("event_id", F.round(S.log(v + 1), 8).alias("a"), F.round(S.log(v + 1, F.lit(3)), 8).alias("b"), S.trunc(50 - v).alias("tr"), F.round(F.cot(v), 6).alias("c"))
+    return t.events.select("event_id", S.round_scaled(S.log(v + 1), 8).alias("a"), S.round_scaled(S.log(v + 1, 3), 8).alias("b"), S.trunc(50 - v).alias("tr"), S.round_scaled(F.cot(v), 6).alias("c"))
 
 
 @query("SELECT n_nationkey, n_name || '!' AS c, regexp_replace(n_name, '[A-Z]', '*') AS r, '''' || replace(n_name, 'A', '''') || '''' AS raw, '''' || replace(replace(n_name, 'A', ''''), '''', '''''') || '''' AS q FROM nation")

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,22 @@ def test_runtime_errors(spark):
         spark.range(1).select(S.checked_sqrt(F.lit(-1.0))).collect()
 
 
+def test_trunc_of_odd_doubles(spark):
+    cases = [(-0.3, -0.0), (0.3, 0.0), (-0.0, -0.0), (0.0, 0.0), (-5e-324, -0.0), (-2.7, -2.0), (2.7, 2.0), (2.0**52 - 0.5, 2.0**52 - 1), (-(2.0**53), -(2.0**53)), (-1e300, -1e300), (float("inf"), float("inf")), (float("-inf"), float("-inf")), (float("nan"), float("nan")), (None, None)]
+    got = [(repr(r.x), repr(r.t)) for r in spark.createDataFrame(cases, "x double, want double").select("x", S.trunc(F.col("x")).alias("t")).collect()]
+    assert got == [(repr(x), repr(want)) for x, want in cases]
+    d = spark.sql("SELECT CAST('0.99999999999999999999' AS DECIMAL(38, 20)) AS d, CAST('-9007199254740993.7' AS DECIMAL(20, 1)) AS e, -9223372036854775808L AS l")
+    assert tuple(d.select(S.trunc(F.col("d")), S.trunc(F.col("e")), S.trunc(F.col("l"))).first()) == (0.0, -9007199254740992.0, -(2.0**63))
+
+
+def test_round_of_odd_doubles(spark):
+    rng = random.Random(3)
+    values = [-0.0, 0.0, -4e-9, 4e-9, -2.5, 2.5, 1.005, 2.474596545, 1e300, -1e300, 1.7e308, float("inf"), float("-inf"), float("nan"), None, *(round(rng.uniform(-9, 9), 9) for _ in range(2000))]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", S.round_scaled(F.col("x"), 8).alias("r"), S.round_scaled(F.col("x"), 0).alias("z")).toArrow()
+    want = duckdb.sql("SELECT x, round(x, 8) AS r, round(x, 0) AS z FROM got")
+    assert [tuple(repr(v) for v in r.values()) for r in got.to_pylist()] == [tuple(repr(v) for v in r) for r in want.fetchall()]
+
+
 def test_row_comparison_nulls(spark):
     df = spark.createDataFrame([(1, None, 1, 3), (1, 2, 2, None), (1, None, None, 3)], "a int, b int, c int, d int")
     got = [r[0] for r in df.select(S.row_less([F.col("a"), F.col("b")], [F.col("c"), F.col("d")])).collect()]

@@ -35,3 +35,15 @@ def test_whole_table(spark, duck, name):
     at = [[c[0] for c in result.description].index(c) for c in columns]
     want = ordered(tuple(r[i] for i in at) for r in result.fetchall())
     assert ordered(df.select(*columns).collect()) == want
+
+
+def test_dialect_math_to_the_last_digit(spark, tmp_path):
+    """Values that smaller tables lack or plain() hides: signed zeros of trunc and round, cot(0), and logarithms of 1924.79 (base 3) and 298.26 (base 10) next to a tie of round."""
+    values = [0.0, 49.7, 50.0, 50.3, 51.0, 1923.79, 297.261051773073, 171.2168, 1e-300, 1e18, 1e300, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    result = con.execute(ORACLE_SQL["dialect_math"] + " ORDER BY event_id")
+    columns = [c[0] for c in result.description]
+    want = [[repr(v) for v in r] for r in result.fetchall()]
+    assert [[repr(v) for v in r] for r in QUERIES["dialect_math"](spark, str(tmp_path)).select(*columns).orderBy("event_id").collect()] == want
